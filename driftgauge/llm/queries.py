@@ -10,6 +10,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op5_secrets": "secrets",
     "op7_media": "media",
+    "op10_substring": "substring",
 }
 
 

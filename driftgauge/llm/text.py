@@ -138,7 +138,7 @@ def by_bucket(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarra
 
 def plan_bytes(df) -> int:
     """Size of the input in bytes as Spark's planner has it: a file size, without a job."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return n if n < 1 << 55 else 0
 
 
