@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds a function of that name.
 MODULES = {
+    "op1_jaccard": "jaccard",
     "op2_bpe": "bpe",
     "op4_toxicity": "toxicity",
     "op5_secrets": "secrets",
