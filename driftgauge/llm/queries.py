@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_jaccard": "jaccard",
     "op2_bpe": "bpe",
+    "op3_embeddings": "embeddings",
     "op4_toxicity": "toxicity",
     "op5_secrets": "secrets",
     "op7_media": "media",
