@@ -12,6 +12,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op5_secrets": "secrets",
     "op7_media": "media",
+    "op9_scoring": "scoring",
     "op10_substring": "substring",
 }
 
