@@ -11,7 +11,9 @@ MODULES = {
     "op3_embeddings": "embeddings",
     "op4_toxicity": "toxicity",
     "op5_secrets": "secrets",
+    "op6_packing": "packing",
     "op7_media": "media",
+    "op8_mixing": "mixing",
     "op9_scoring": "scoring",
     "op10_substring": "substring",
 }
