@@ -383,9 +383,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         links = links.union(more)
     reach = components(links)
     info = made.where("kind = 0").select("id", "n", "sid")
-    info = info.join(reach.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("component", "sid")))
-    least = info.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
-    out = info.join(least, "g", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # what a component is, is settled for each distinct set; rows then join a written table, which a hot set cannot skew
+    sets = info.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
+    sets = sets.join(reach.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("g", F.coalesce("component", "sid"))
+    least = sets.groupBy("g").agg(F.min("least").alias("component_id"))
+    settled = checkpoint(sets.join(least, "g").select(F.col("sid").alias("set_id"), "component_id"))
+    out = info.join(settled, F.when(F.col("n") > 0, F.col("sid")) == F.col("set_id"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     null = lambda c: F.when(F.col(c) != LEAST, F.col(c))
     return out.select(null("id").alias(id_col), "n_shingles", null("component_id").alias("component_id"))
 

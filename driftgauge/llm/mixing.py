@@ -64,38 +64,47 @@ def probabilities(fitted: DataFrame, rate: float = RATE) -> DataFrame:
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("factor"), *POWERS)
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     rest = down.rowsBetween(0, Window.unboundedFollowing)
-    out = out.withColumn("scale", (F.lit(rate) - F.coalesce(F.sum("share").over(above), F.lit(0.0))) / F.sum(F.col("share") * F.col("factor")).over(rest))
+    left = F.lit(rate) - F.coalesce(F.sum("share").over(above), F.lit(0.0))
+    out = out.withColumn("scale", F.try_divide(left, F.sum(F.col("share") * F.col("factor")).over(rest)))
     # the first cell, from the largest factor down, that the scale of the rest does not push over one
     fits = F.when((F.col("scale") * F.col("factor") <= 1) & (F.col("share") > 0), F.col("scale"))
     out = out.withColumn("lambda", F.first(fits, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return out.withColumn("prob", F.least(F.lit(1.0), F.coalesce(F.col("lambda"), F.lit(1.0)) * F.col("factor"))).drop("scale", "lambda")
 
 
+def free(taken: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def draw(id_col: str = "doc_id") -> Column:
     """A number in [0, 1) from the id."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def weigh(df: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rate: float = RATE) -> DataFrame:
-    """df with struct column mix: n_tokens, topic, factor, prob, kept."""
-    name = "mix"
+def weigh(df: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rate: float = RATE, name: str = "mix") -> DataFrame:
+    """df with a struct column, mix or the given name: n_tokens, topic, factor, prob, kept."""
     cols = df.columns
     docs = df.withColumn(name, F.struct(tokens(text_col).alias("n_tokens")))
     docs = docs.withColumn(name, F.struct(f"{name}.n_tokens", (topic if topic is not None else length_class(f"{name}.n_tokens")).alias("topic"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")))
     keys = list(POWERS)
     cells = docs.groupBy(*[F.col(f"{name}.{k}").alias(k) for k in keys]).agg(F.sum(f"{name}.n_tokens").cast("long").alias("tokens"))
     fitted = checkpoint(probabilities(rake(cells), rate))
-    side = fitted.select(*[F.col(k).alias(f"cell_{k}") for k in keys], F.struct("factor", "prob").alias("cell"))
+    cell = free(cols, "mix_cell")
+    side = fitted.select(F.struct(*keys, "factor", "prob").alias(cell))
     if fitted.count() <= SMALL:
         side = F.broadcast(side)
-    out = docs.join(side, [F.col(f"{name}.{k}") == F.col(f"cell_{k}") for k in keys], "left")
-    kept = draw(id_col) < F.col("cell.prob")
-    return out.select(*[F.col(f"`{c}`") for c in cols], F.struct(f"{name}.n_tokens", f"{name}.topic", "cell.factor", "cell.prob", kept.alias("kept")).alias(name))
+    out = docs.join(side, [F.col(f"{name}.{k}") == F.col(f"{cell}.{k}") for k in keys], "left")
+    kept = draw(id_col) < F.col(f"{cell}.prob")
+    return out.select(*[F.col(f"`{c}`") for c in cols], F.struct(f"{name}.n_tokens", f"{name}.topic", f"{cell}.factor", f"{cell}.prob", kept.alias("kept")).alias(name))
 
 
 def sample(df: DataFrame, **how) -> DataFrame:
     """The rows of df that are drawn, with its columns."""
-    return weigh(df, **how).where("mix.kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    name = free(df.columns, "mix")
+    return weigh(df, name=name, **how).where(f"{name}.kept").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
