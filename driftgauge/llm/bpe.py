@@ -30,6 +30,8 @@ SHORT, LONG = np.frombuffer(b"stmd", np.uint8), np.array([ord(a) * 256 + ord(b)
 NONE = np.uint64(2**64 - 1)
 #: Pieces that a worker's cache holds before it starts anew.
 CACHE = 400_000
+#: Bytes of text that are encoded together.
+STEP = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -290,7 +292,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     def run(frames):
         bpe = load(path)
-        for batch, buf, at in batches(frames, "text"):
+        for batch, buf, at in batches(frames, "text", STEP):
             ids, off = bpe.encode_bytes(buf, at)
             n = np.diff(off)
             small = ids.astype("<u4")

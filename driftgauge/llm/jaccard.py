@@ -56,7 +56,21 @@ def slack(n: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return n - -(-n * t[0] // t[1])
 
 
-COUNTED = "key int, kind int, part int, h binary, d binary, c binary"
+COUNTED = "key int, kind int, part int, h binary, d binary, n binary, c binary"
+
+
+def by_runs(ids: np.ndarray, bounds: np.ndarray) -> dict:
+    """Columns d and n: the ids of each row's runs of equal ids, and the runs' lengths."""
+    new = np.append(True, ids[1:] != ids[:-1])
+    new[bounds[:-1]] = True
+    at = np.flatnonzero(new)
+    got = rows(np.zeros(len(bounds) - 1), np.searchsorted(at, bounds), d=ids[at], n=np.diff(np.append(at, len(ids))).astype("<u4"))
+    return {"d": got["d"], "n": got["n"]}
+
+
+def run_ids(t: pa.Table) -> np.ndarray:
+    return np.repeat(cat(t.column("d"), np.int64), cat(t.column("n"), "<u4"))
+
 
 
 def packed(h: np.ndarray, width: int) -> np.ndarray:
@@ -101,11 +115,12 @@ def _count(n_buckets: int, n_docs: int, k: int, width: int):
                 if len(hh):
                     o, key, at = by_bucket(hh, n_buckets)  # sorted by hash, so by bucket already
                     o = np.lexsort((dd, np.repeat(np.arange(len(key)), np.diff(at))))
-                    parts.append(rows(key, at, h=Blob(packed(hh[o], width)), **({"d": dd[o]} if kind == 0 else {})) | {"kind": kind})
+                    parts.append(rows(key, at, h=Blob(packed(hh[o], width))) | (by_runs(dd[o], at) if kind == 0 else {}) | {"kind": kind})
             if hot.any():
                 hh, dd = h[hot], ids[doc[hot]]
                 o, key, at = by_doc(dd, n_docs)
-                parts.append(rows(key % n_buckets, at, h=Blob(packed(hh[o], width)), d=dd[o], c=np.full(len(o), HOT + 1, np.uint8)) | {"kind": 2, "part": pa.array(key, pa.int32())})
+                o = o[np.lexsort((dd[o], np.repeat(np.arange(len(key)), np.diff(at))))]
+                parts.append(rows(key % n_buckets, at, h=Blob(packed(hh[o], width)), c=np.full(len(o), HOT + 1, np.uint8)) | by_runs(dd[o], at) | {"kind": 2, "part": pa.array(key, pa.int32())})
             yield from table(COUNTED, *parts).to_batches()
 
     return run
@@ -115,7 +130,7 @@ def _frequencies(n_docs: int, width: int):
     def run(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         own, rep, local = (t.filter(pa.array(kind == i)) for i in range(3))
-        h, d = unpacked(own.column("h"), width), cat(own.column("d"), np.int64)
+        h, d = unpacked(own.column("h"), width), run_ids(own)
         hot = np.unique(unpacked(rep.column("h"), width))
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
@@ -129,9 +144,10 @@ def _frequencies(n_docs: int, width: int):
         if live.any():
             h, d, c = h[live], d[live], c[live]
             o, key, at = by_doc(d, n_docs)
-            parts.append(rows(key, at, h=Blob(packed(h[o], width)), d=d[o], c=c[o]) | {"part": pa.array(key, pa.int32())})
+            o = o[np.lexsort((d[o], np.repeat(np.arange(len(key)), np.diff(at))))]
+            parts.append(rows(key, at, h=Blob(packed(h[o], width)), c=c[o]) | by_runs(d[o], at) | {"part": pa.array(key, pa.int32())})
         if local.num_rows:
-            parts.append({x: local.column(x).combine_chunks() for x in ("h", "d", "c", "part")} | {"key": local.column("part").combine_chunks()})
+            parts.append({x: local.column(x).combine_chunks() for x in ("h", "d", "n", "c", "part")} | {"key": local.column("part").combine_chunks()})
         return table(COUNTED, *parts)
 
     return run
@@ -145,7 +161,7 @@ def _prefixes(k: int, t: tuple[int, int], width: int, n_buckets: int):
     cut = np.uint64((1 << (8 * width)) - 1 if width < 8 else 2**64 - 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rd, rc, rh = cat(right.column("d"), np.int64), cat(right.column("c"), np.uint8), unpacked(right.column("h"), width)
+        rd, rc, rh = run_ids(right), cat(right.column("c"), np.uint8), unpacked(right.column("h"), width)
         o = np.lexsort((rh, rd))
         rd, rc, rh = rd[o], rc[o], rh[o]
         infos, sets, posts, seen = [], [], [], set()

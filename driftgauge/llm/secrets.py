@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import documents
+from driftgauge.llm.text import documents, trim
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -145,6 +145,7 @@ def redact(df: DataFrame, text_col: str = "text", size_col: str | None = "n_char
         for batch in frames:
             new = pa.array([mask(t, spans(t)[1]) for t in batch.column(at).to_pylist()], pa.string())
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)
+        trim()
 
     out = df.mapInArrow(run, schema)
     if size_col and size_col in df.columns:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, documents, mix, powers, slices, string_bytes
+from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, documents, mix, powers, slices, string_bytes, trim
 
 SIZE, GRAM = 20, 5
 LEAST = -(2**63)
@@ -192,6 +192,7 @@ def text_groups(t: pa.Table):
     ids = t.column("id").to_numpy()
     for a, b in slices(np.diff(off)):
         yield ids[a:b], buf[off[a] : off[b]], off[a : b + 1] - off[a]
+    trim()
 
 
 def first_of_each(h, d, s):

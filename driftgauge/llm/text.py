@@ -6,6 +6,8 @@ bytes of an Arrow string column without making Python strings, so a batch costs
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -116,6 +118,12 @@ class Words:
         return mix(acc[keep]), self.doc[keep]
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as idle workers stay."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(frames, text: str, most: int = CHUNK):
     """(record batch, bytes, offsets) of at most so many bytes of text, or of one row."""
     for batch in frames:
@@ -124,6 +132,7 @@ def batches(frames, text: str, most: int = CHUNK):
         buf, off = string_bytes(batch.column(batch.schema.get_field_index(text)))
         for a, b in slices(np.diff(off), most):
             yield batch.slice(a, b - a), buf[off[a] : off[b]], off[a : b + 1] - off[a]
+    trim()
 
 
 def by_bucket(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import documents
+from driftgauge.llm.text import documents, trim
 
 #: Labelled rows that the fit uses at most.
 MAX_TRAIN = 8000
@@ -143,6 +143,7 @@ def classify(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
         for batch in frames:
             s = score(batch.column(place).to_pylist(), weights, b)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, score_col])
+        trim()
 
     return df.mapInArrow(run, schema)
 
