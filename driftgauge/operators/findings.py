@@ -40,7 +40,8 @@ def findings(matches: DataFrame, rules: DataFrame, versions: list[int], minimum:
     """Findings before suppression. Filters come after the ordinal, so they don't move fingerprints."""
     low = {"low": 0, "medium": 1, "high": 2}[minimum]
     policy = F.array(*map(F.lit, versions))
-    out = with_ordinal(strongest(matches), namespace).where(f"{CONF} >= {low}")
+    # one exchange: the merge and the ordinals both group by path and more
+    out = with_ordinal(strongest(matches.repartition("path")), namespace).where(f"{CONF} >= {low}")
     side = F.broadcast(rules.select("rule_id", "title", "events", "remediation", "deprecated_only", "has_removal", F.col("contexts").alias("rule_contexts")))
     out = out.join(side, "rule_id").withColumn("usage_contexts", F.array_sort(F.array_intersect("rule_contexts", "ctx"))).where("size(usage_contexts) > 0")
     out = out.withColumn("reachable", F.array_sort(F.array_intersect("reach", policy)))
@@ -69,17 +70,13 @@ def directive_rules(parsed: DataFrame, names: DataFrame) -> tuple[DataFrame, Dat
 
 def suppress(found: DataFrame, directives: DataFrame, ignores: DataFrame) -> DataFrame:
     """suppression struct(kind, reason, pattern): the rightmost directive statement around the finding, else the first per-file pattern."""
-    d = directives.select(F.col("path").alias("d_path"), F.col("rule_id").alias("d_rule"), "statement", F.struct("reason").alias("inline"))
-    inside = (F.struct("sl", "sc") >= F.struct("statement.sl", "statement.sc")) & (F.struct("el", "ec") <= F.struct("statement.el", "statement.ec"))
-    key = ["path", "fingerprint"]
-    near = found.select("path", "rule_id", "fingerprint", "sl", "sc", "el", "ec").join(d, (F.col("path") == F.col("d_path")) & (F.col("rule_id") == F.col("d_rule")) & inside)
-    near = near.groupBy(*key).agg(F.max_by("inline", F.struct("statement.sl", "statement.sc")).alias("inline"))
-    i = F.broadcast(ignores.select(F.col("rule_id").alias("i_rule"), "regex", "pattern", "place"))  # as many as the configuration holds
-    by_file = found.select("path", "rule_id", "fingerprint").join(i, (F.col("rule_id") == F.col("i_rule")) & F.expr("path rlike regex"))
-    by_file = by_file.groupBy(*key).agg(F.min_by("pattern", "place").alias("pattern"))
-    out = found.join(near, key, "left").join(by_file, key, "left")
+    d = directives.groupBy("path", "rule_id").agg(F.collect_list(F.struct("statement.sl", "statement.sc", "statement.el", "statement.ec", "reason")).alias("near"))  # as many as one file holds
+    i = ignores.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("place", "regex", "pattern"))).alias("ignored"))
+    out = found.join(d, ["path", "rule_id"], "left").join(F.broadcast(i), "rule_id", "left")  # as many as the configuration holds
+    out = out.withColumn("inline", F.expr("array_max(filter(near, x -> struct(x.sl, x.sc) <= struct(sl, sc) and struct(el, ec) <= struct(x.el, x.ec)))"))
+    out = out.withColumn("pattern", F.expr("try_element_at(filter(ignored, x -> path rlike x.regex), 1).pattern"))
     kind = F.when(F.col("inline").isNotNull(), "inline").when(F.col("pattern").isNotNull(), "per-file")
-    return out.withColumn("suppression", F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("inline.reason").alias("reason"), F.when(F.col("inline").isNull(), F.col("pattern")).alias("pattern")))).drop("inline", "pattern")
+    return out.withColumn("suppression", F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("inline.reason").alias("reason"), F.when(F.col("inline").isNull(), F.col("pattern")).alias("pattern")))).drop("near", "ignored", "inline", "pattern")
 
 
 def with_baseline(found: DataFrame, baseline: DataFrame | None) -> DataFrame:

@@ -113,26 +113,26 @@ def scan_baseline(spark, sf_dir):
     return G.with_baseline(found, known).groupBy("baseline_status").agg(F.count("*").alias("n"))
 
 
-@query(found_sql("part", "p_partkey", "SELECT action_version, impact, rule_id, path, row_number() OVER (ORDER BY action_version, impact, rule_id, string_split(path, '/'), line, ordinal) AS place FROM found WHERE rule_id IN ('CPY0023', 'CPY0008', 'CPY0061')"))
+@query(found_sql("part", "p_partkey", "SELECT action_version, impact, rule_id, path, line, row_number() OVER (PARTITION BY rule_id ORDER BY action_version, impact, string_split(path, '/'), line, ordinal) AS place FROM found"))
 def scan_order(spark, sf_dir):
-    """The report's order: versions as numbers, impact as text, paths part by part. A report orders what it lists; here one rule set."""
-    f = flat(scanned(spark, table(spark, sf_dir, "part"), "p_partkey").findings).where("rule_id in ('CPY0023', 'CPY0008', 'CPY0061')")
-    ranked = f.select("action_version", "impact", "rule_id", "path", "line", "ordinal", F.split("path", "/").alias("parts"))
-    return ranked.select("action_version", "impact", "rule_id", "path", F.row_number().over(Window.orderBy("action_version", "impact", "rule_id", "parts", "line", "ordinal")).cast("long").alias("place"))
+    """The report's order within each rule: versions as numbers, impact as text, paths part by part."""
+    f = flat(scanned(spark, table(spark, sf_dir, "part"), "p_partkey").findings)
+    w = Window.partitionBy("rule_id").orderBy("action_version", "impact", F.split("path", "/"), "line", "ordinal")
+    return f.select("action_version", "impact", "rule_id", "path", "line", F.row_number().over(w).cast("long").alias("place"))
 
 
 # --- single operators on the tables' columns ---------------------------------------------------
 
 
-@query("""SELECT c.c_custkey, c.m, o.o_orderstatus AS state FROM (SELECT c_custkey, unnest(generate_series(1, 12)) AS m FROM customer) c
-ASOF JOIN (SELECT o_custkey, month(o_orderdate) AS om, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders WHERE year(o_orderdate) = 1995 GROUP BY ALL) o ON c.c_custkey = o.o_custkey AND c.m >= o.om""")
+@query("""SELECT c.c_custkey, c.m, o.o_orderstatus AS state FROM (SELECT c_custkey, unnest(generate_series(12, 120, 12)) AS m FROM customer) c
+ASOF JOIN (SELECT o_custkey, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS om, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY ALL) o ON c.c_custkey = o.o_custkey AND c.m >= o.om""")
 def asof_state(spark, sf_dir):
-    """The last event at or before each target, looked up within the row; targets without one are left out."""
-    o = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995")
-    o = o.groupBy("o_custkey", F.month("o_orderdate").alias("om")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("s"))
+    """The last event at or before each target month, looked up within the row; targets without one are left out."""
+    o = table(spark, sf_dir, "orders").withColumn("om", (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate"))
+    o = o.groupBy("o_custkey", "om").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("s"))
     o = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("om").alias("py"), F.col("s").alias("impact")))).alias("events"))
     c = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
-    return c.select("c_custkey", "events", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m")).select("c_custkey", F.col("m").cast("long").alias("m"), E.as_of("events", "m").alias("state")).where("state is not null")
+    return c.select("c_custkey", "events", F.explode(F.sequence(F.lit(12), F.lit(120), F.lit(12))).alias("m")).select("c_custkey", F.col("m").cast("long").alias("m"), E.as_of("events", "m").alias("state")).where("state is not null")
 
 
 @query("""WITH d AS (SELECT user_id, dayofmonth(ts)::INT AS v, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY ALL),
