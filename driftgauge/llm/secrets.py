@@ -1,9 +1,10 @@
 """Secret scans: base patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of token characters. For each character class (hex, base64) a window slides
-over it; the counts of its characters, and with them the entropy, change by one character leaving
-and one entering at each step. Windows at or above the class's threshold are joined to spans.
-Allow-listed candidates (UUIDs, runs of letters of one case, digits only, repeated placeholders,
+A candidate is a run of at least WINDOW token characters. A window slides over it; the counts of its
+characters, and with them the entropy, change by one character leaving and one entering at each
+step. A candidate with a window at or above the threshold of its character class (hex; letters of
+one case, as in base32 and base36; both cases, as in base64) is a span as a whole. What reads as
+words and numbers joined by signs must reach BASE64_BITS, whatever its case. Allow-listed candidates (UUIDs, runs of letters of one case, digits only, repeated placeholders,
 published example keys) are suppressed. The base patterns' spans always stay.
 
 Positions are code points. Null and empty texts have no spans; texts are scanned whole.
@@ -26,11 +27,15 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: The window in characters, and bits of entropy a character that a window of each class must reach.
+#: The window in characters, and bits of entropy a character that a window of hex and of readable names must reach.
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.9
+#: The same for letters of one case and of both: under 1 % of random tokens of one window have less.
+SINGLE_BITS, MIXED_BITS = 3.3, 3.6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ALLOW = re.compile(r"[a-z_/=+-]+|[A-Z_/=+-]+|[0-9_=+/-]+|[A-Z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]+)*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(.{1,4}?)\1+.{0,3}|.*(?:EXAMPLE|example|placeholder|XXXX|xxxx).*", re.A)
+_NAME = "(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+)"
+READABLE = re.compile(f"[-_/=+]*{_NAME}(?:[-_/=+]+{_NAME})*[-_/=+]*", re.A)
 _part = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -78,10 +83,14 @@ def candidate(s: str) -> tuple[tuple[int, int, int], ...]:
     if ALLOW.fullmatch(s):
         return ()
     if re.fullmatch(r"[0-9a-fA-F]+", s):
-        return tuple((a, 3, b) for a, b in windows(s, HEX_BITS))
+        return ((0, 3, len(s)),) if windows(s, HEX_BITS) else ()
     if not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
         return ()
-    return tuple((a, 4, b) for a, b in windows(s, BASE64_BITS))
+    if READABLE.fullmatch(s):
+        least = BASE64_BITS
+    else:
+        least = MIXED_BITS if re.search(r"[a-z]", s) and re.search(r"[A-Z]", s) else SINGLE_BITS
+    return ((0, 4, len(s)),) if windows(s, least) else ()
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:

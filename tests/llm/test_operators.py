@@ -186,6 +186,22 @@ def test_secret_windows():
     assert secrets.candidate("q9Zr7Lk2Xw8Vb4Nn6Tp3Mc5Yd1") != ()
 
 
+def test_secret_classes():
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters, most in ((lower + digits, 0.01), (upper + "234567", 0.04), (lower + upper + digits, 0.05)):
+        for n in (20, 24, 32, 40):
+            tokens = ["".join(rng.choices(letters, k=n)) for _ in range(500)]
+            assert sum(secrets.candidate(t) == () for t in tokens) <= 500 * most, (letters, n)
+            for t in tokens:
+                text = f"key {t}, end"
+                found = secrets.entropy_spans(text)
+                assert [(a, b) for a, _, b in found] in ([], [(4, 4 + n)])
+                assert not found or secrets.mask(text, found) == "key [SECRET], end"
+    for name in ("how-to-install-python-3-on-linux", "chapter_12_section4_overview", "/docs/2024/11/some-older-page", "getUserNameByKey/version2"):
+        assert secrets.candidate(name) == ()
+
+
 def test_redact(messy):
     got = secrets.redact(messy)
     assert got.columns == messy.columns and got.count() == messy.count()
