@@ -6,7 +6,10 @@ SHARED pivots, and are looked at in the list of the least one only. Candidates a
 cosine in double precision, so no link is false; what they share fixes the recall, which the tests
 hold against brute force.
 
-Pivots are a bounded sample (at most MAX_PIVOTS rows, those of least hash); every vector is indexed.
+Pivots are a bounded sample (at most MAX_PIVOTS rows, those of least hash) without rows that are close
+to an earlier one: a group of near copies of any size has one pivot or few, which all its members
+share, and not a share of the pivots by its size, of which two members would rarely have the same.
+Every vector is indexed.
 Each list is cut into chunks of CHUNK vectors and all pairs of its chunks are searched in tasks of
 their own, so a list of any length is searched whole. Pairs never leave a task: it reports how many
 links each vector has, and a spanning forest of them.
@@ -27,20 +30,51 @@ from driftgauge.llm.substring import LEAST, id_column
 from driftgauge.llm.text import documents
 
 NEAREST, SHARED, MAX_PIVOTS, PER_PIVOT, CHUNK, COSINE = 8, 2, 4096, 64, 2048, 0.9
+#: Rows looked at for each pivot, so that enough are left when close ones are gone.
+DRAWN = 4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def pivots(good: DataFrame, n: int) -> np.ndarray:
-    """Directions of the n rows of least hash; rows of the commonest length only."""
-    got = good.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()  # bounded by n
-    if not got:
+def thinned(x: np.ndarray, n: int, most: float) -> np.ndarray:
+    """The first n rows, in order, whose cosines with all taken before are below this."""
+    out, m = np.empty((min(n, len(x)), x.shape[1])), 0
+    for at in range(0, len(x), 512):
+        y = x[at : at + 512]
+        free = ~(y @ out[:m].T >= most).any(1)
+        close = y @ y.T >= most
+        for i in range(len(y)):
+            if free[i]:
+                if m == len(out):
+                    return out
+                out[m] = y[i]
+                m += 1
+                free &= ~close[i]
+    return out[:m]
+
+
+def pivots(good: DataFrame, n: int, least: float = COSINE) -> np.ndarray:
+    """At most n directions of the rows of least hash; rows of the commonest length only.
+
+    They are as far apart as twice the angle of a link, or less where too few are: on vectors that
+    all point one way. No two are as close as a link.
+    """
+    got = good.orderBy(F.xxhash64("id"), "id").limit(DRAWN * n).select("v").toArrow().column("v").combine_chunks()  # bounded by n
+    if not len(got):
         return np.zeros((0, 0))
-    sizes = [len(r[0]) for r in got]
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    return np.unique(unit(np.array([r[0] for r in got if len(r[0]) == dim], np.float64)), axis=0)
+    at = got.offsets.to_numpy()
+    sizes = np.diff(at)
+    u, count = np.unique(sizes, return_counts=True)
+    dim = u[count.argmax()]
+    flat = got.values.to_numpy(zero_copy_only=False)
+    x = unit(np.stack([flat[i : i + dim] for i in at[:-1][sizes == dim]]))
+    for most in np.linspace(2 * least * least - 1, least, 4):
+        out = thinned(x, n, float(most))
+        if 4 * len(out) >= n:
+            break
+    return out
 
 
 def nearest(x: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
@@ -90,7 +124,7 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     good = rows.where(F.coalesce(fine, F.lit(False)))
     total = good.count()
     n = int(min(MAX_PIVOTS, max(4 * k, total // PER_PIVOT)))
-    p = pivots(good, n)
+    p = pivots(good, n, least)
     null = lambda c: F.when(F.col(c) != LEAST, F.col(c))
     if not len(p):
         return rows.select(null("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), null("id").alias("component_id"), F.lit(True).alias("kept"))

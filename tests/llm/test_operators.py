@@ -128,6 +128,19 @@ def test_embeddings(spark):
     assert embeddings.near_dups(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.38])
+def test_embeddings_large_group(spark, noise):
+    ship(spark)
+    rng = np.random.default_rng(2)
+    unit = embeddings.unit
+    group = unit(unit(rng.normal(size=(1, 64))) + noise * unit(rng.normal(size=(2400, 64))))
+    x = np.concatenate((group, unit(rng.normal(size=(800, 64)))))
+    want = ((x @ x.T) >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_dups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    mine = np.array([got[i] for i in range(len(x))])
+    assert (mine <= want).all() and mine.sum() >= 0.95 * want.sum() and want.sum() > 100_000
+
+
 def test_toxicity(spark):
     ship(spark)
     rng = random.Random(2)
