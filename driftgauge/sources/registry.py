@@ -161,30 +161,78 @@ CPY0033 urllib.request.urlopen required=cadefault
 CPY0045 argparse.BooleanOptionalAction required=type
 CPY0045 argparse.BooleanOptionalAction required=choices
 CPY0045 argparse.BooleanOptionalAction required=metavar
+CPY0045 argparse.BooleanOptionalAction min=4
 CPY0046 email.utils.localtime required=isdst
 CPY0046 email.utils.localtime min=2
-CPY0047 pathlib.PurePath.relative_to min=2
-CPY0047 pathlib.PurePath.is_relative_to min=2
-CPY0047 pathlib.Path.relative_to min=2
-CPY0047 pathlib.Path.is_relative_to min=2
+CPY0047 pathlib.PurePath.relative_to min=3
+CPY0047 pathlib.PurePath.is_relative_to min=3
+CPY0047 pathlib.PurePosixPath.relative_to min=3
+CPY0047 pathlib.PurePosixPath.is_relative_to min=3
+CPY0047 pathlib.PureWindowsPath.relative_to min=3
+CPY0047 pathlib.PureWindowsPath.is_relative_to min=3
+CPY0047 pathlib.Path.relative_to min=3
+CPY0047 pathlib.Path.is_relative_to min=3
+CPY0047 pathlib.PosixPath.relative_to min=3
+CPY0047 pathlib.PosixPath.is_relative_to min=3
+CPY0047 pathlib.WindowsPath.relative_to min=3
+CPY0047 pathlib.WindowsPath.is_relative_to min=3
 CPY0057 threading.RLock min=1
 CPY0057 threading.RLock min_kw=1
 CPY0058 sysconfig.is_python_build min=1
 CPY0058 sysconfig.is_python_build required=check_home
 CPY0059 typing.NamedTuple min=1,max=1,min_kw=1
+CPY0059 typing.NamedTuple min=1,max=1,max_kw=0
+CPY0059 typing.NamedTuple min=2,max=2,max_kw=0,literal=1:null
 CPY0060 typing.TypedDict min=1,max=1,max_kw=0
-CPY0060 typing.TypedDict min=2,literal=1:null
+CPY0060 typing.TypedDict min=1,max=1,max_kw=1,required=total
+CPY0060 typing.TypedDict min=2,max=2,max_kw=0,literal=1:null
+CPY0060 typing.TypedDict min=2,max=2,max_kw=1,required=total,literal=1:null
+CPY0072 configparser.ParsingError min=2
+CPY0072 configparser.ParsingError required=filename
+CPY0073 unittest.TestLoader.loadTestsFromModule required=use_load_tests
+CPY0073 unittest.TestLoader.loadTestsFromModule min=3
 CPY0075 shlex.split literal=0:null
 CPY0075 shlex.split literal=s:null
 CPY0082 http.client.HTTPSConnection required=key_file
 CPY0082 http.client.HTTPSConnection required=cert_file
 CPY0082 http.client.HTTPSConnection required=check_hostname
+CPY0082 ftplib.FTP_TLS required=keyfile
+CPY0082 ftplib.FTP_TLS required=certfile
+CPY0082 ftplib.FTP_TLS min=5
+CPY0082 imaplib.IMAP4_SSL required=keyfile
+CPY0082 imaplib.IMAP4_SSL required=certfile
+CPY0082 imaplib.IMAP4_SSL min=3
+CPY0082 poplib.POP3_SSL required=keyfile
+CPY0082 poplib.POP3_SSL required=certfile
+CPY0082 poplib.POP3_SSL min=3
+CPY0082 smtplib.SMTP_SSL required=keyfile
+CPY0082 smtplib.SMTP_SSL required=certfile
+CPY0082 smtplib.SMTP_SSL min=4
+CPY0082 smtplib.SMTP.starttls required=keyfile
+CPY0082 smtplib.SMTP.starttls required=certfile
+CPY0082 smtplib.SMTP.starttls min=2
+CPY0082 smtplib.LMTP.starttls required=keyfile
+CPY0082 smtplib.LMTP.starttls required=certfile
+CPY0082 smtplib.LMTP.starttls min=2
+CPY0082 smtplib.SMTP_SSL.starttls required=keyfile
+CPY0082 smtplib.SMTP_SSL.starttls required=certfile
+CPY0082 smtplib.SMTP_SSL.starttls min=2
+CPY0082 http.client.HTTPSConnection min=3
 CPY0085 fractions.Fraction required=_normalize
 CPY0086 webbrowser.get literal=0:str:netscape
 CPY0086 webbrowser.get literal=0:str:mosaic
 CPY0086 webbrowser.get literal=0:str:grail
 CPY0086 webbrowser.get literal=0:str:galeon
 CPY0086 webbrowser.get literal=0:str:skipstone
+CPY0086 webbrowser.get literal=using:str:grail
+CPY0086 webbrowser.get literal=using:str:mosaic
+CPY0086 webbrowser.get literal=using:str:netscape
+CPY0086 webbrowser.get literal=using:str:galeon
+CPY0086 webbrowser.get literal=using:str:skipstone
+CPY0086 webbrowser.get literal=0:str:iceape
+CPY0086 webbrowser.get literal=using:str:iceape
+CPY0086 webbrowser.get literal=0:str:firebird
+CPY0086 webbrowser.get literal=using:str:firebird
 CPY0094 shutil.rmtree required=onerror
 CPY0094 shutil.rmtree min=3
 CPY0097 array.array literal=0:str:u
@@ -192,36 +240,240 @@ CPY0100 re.split min=3
 CPY0100 re.sub min=4
 CPY0100 re.subn min=4
 CPY0101 sqlite3.connect min=2
+CPY0101 sqlite3.Connection min=2
+CPY0101 sqlite3.Connection.create_function required=name
+CPY0101 sqlite3.Connection.create_function required=narg
+CPY0101 sqlite3.Connection.create_function required=func
+CPY0101 sqlite3.Connection.create_aggregate required=name
+CPY0101 sqlite3.Connection.create_aggregate required=n_arg
+CPY0101 sqlite3.Connection.create_aggregate required=aggregate_class
+CPY0101 sqlite3.Connection.set_authorizer required=authorizer_callback
+CPY0101 sqlite3.Connection.set_progress_handler required=progress_handler
+CPY0101 sqlite3.Connection.set_trace_callback required=trace_callback
+CPY0105 argparse.ArgumentParser.add_argument_group required=prefix_chars
 CPY0107 functools.reduce required=function
 CPY0107 functools.reduce required=sequence
 CPY0115 importlib.util.cache_from_source required=debug_override
 CPY0115 importlib.util.cache_from_source min=2
-CPY0118 ssl.SSLContext max=0,forbidden=protocol
+CPY0118 ssl.SSLContext max=0,max_kw=0,forbidden=protocol
 CPY0133 pathlib.Path min_kw=1
-CPY0136 typing.TypedDict min=1,min_kw=1
+CPY0133 pathlib.PurePath min_kw=1
+CPY0133 pathlib.PurePosixPath min_kw=1
+CPY0133 pathlib.PureWindowsPath min_kw=1
+CPY0133 pathlib.PosixPath min_kw=1
+CPY0133 pathlib.WindowsPath min_kw=1
+CPY0136 typing.TypedDict min=1,max=1,min_kw=1,forbidden=total
+CPY0136 typing.TypedDict min=1,max=1,min_kw=2,required=total
 """
 
-# Further names of a rule's subject.
+# Further names of a rule's subject; for rules with call shapes, all names whose mention alone is a match.
 ALSO = """
+CPY0025 pkgutil.ImpLoader
 CPY0026 ssl.RAND_pseudo_bytes
 CPY0031 unittest.findTestCases
 CPY0031 unittest.getTestCaseNames
 CPY0032 re.TEMPLATE
 CPY0032 re.T
+CPY0035 unittest.main.usageExit
+CPY0036 turtle.RawPen.settiltangle
+CPY0036 turtle.Turtle.settiltangle
+CPY0036 turtle.Pen.settiltangle
 CPY0038 sqlite3.version_info
 CPY0039 pkgutil.get_loader
 CPY0040 pty.slave_open
+CPY0041 importlib.abc.Traversable
+CPY0041 importlib.abc.TraversableResources
+CPY0042 asyncio.set_event_loop_policy
+CPY0042 asyncio.AbstractEventLoopPolicy
+CPY0042 asyncio.DefaultEventLoopPolicy
+CPY0042 asyncio.WindowsSelectorEventLoopPolicy
+CPY0042 asyncio.WindowsProactorEventLoopPolicy
+CPY0043 asyncio.SafeChildWatcher
+CPY0043 asyncio.FastChildWatcher
+CPY0043 asyncio.PidfdChildWatcher
+CPY0043 asyncio.MultiLoopChildWatcher
+CPY0043 asyncio.ThreadedChildWatcher
+CPY0043 asyncio.get_child_watcher
+CPY0043 asyncio.set_child_watcher
+CPY0043 asyncio.AbstractEventLoopPolicy.get_child_watcher
+CPY0043 asyncio.AbstractEventLoopPolicy.set_child_watcher
+CPY0043 asyncio.DefaultEventLoopPolicy.get_child_watcher
+CPY0043 asyncio.DefaultEventLoopPolicy.set_child_watcher
+CPY0043 asyncio.WindowsSelectorEventLoopPolicy.get_child_watcher
+CPY0043 asyncio.WindowsSelectorEventLoopPolicy.set_child_watcher
+CPY0043 asyncio.WindowsProactorEventLoopPolicy.get_child_watcher
+CPY0043 asyncio.WindowsProactorEventLoopPolicy.set_child_watcher
 CPY0049 glob.glob1
+CPY0055 pathlib.PurePosixPath.is_reserved
+CPY0055 pathlib.PureWindowsPath.is_reserved
+CPY0055 pathlib.Path.is_reserved
+CPY0055 pathlib.PosixPath.is_reserved
+CPY0055 pathlib.WindowsPath.is_reserved
+CPY0056 wave.Wave_read.getmarkers
+CPY0056 wave.Wave_write.setmark
+CPY0056 wave.Wave_write.getmark
+CPY0056 wave.Wave_write.getmarkers
 CPY0064 ast.Str
 CPY0064 ast.Bytes
 CPY0064 ast.NameConstant
 CPY0064 ast.Ellipsis
+CPY0065 ast.Constant.s
+CPY0069 _pyio.OpenWrapper
+CPY0070 sqlite3.OptimizedUnicode
+CPY0071 pathlib.PosixPath.link_to
+CPY0071 pathlib.WindowsPath.link_to
+CPY0072 configparser.SafeConfigParser
+CPY0072 configparser.ConfigParser.readfp
+CPY0072 configparser.RawConfigParser.readfp
+CPY0072 configparser.ParsingError.filename
+CPY0072 configparser.MissingSectionHeaderError.filename
+CPY0073 unittest.TestCase.assertEquals
+CPY0073 unittest.TestCase.failUnless
+CPY0073 unittest.TestCase.failIf
+CPY0073 unittest.TestCase.failUnlessEqual
+CPY0073 unittest.TestCase.failIfEqual
+CPY0073 unittest.TestCase.failUnlessAlmostEqual
+CPY0073 unittest.TestCase.failIfAlmostEqual
+CPY0073 unittest.TestCase.failUnlessRaises
+CPY0073 unittest.TestCase.assertNotEquals
+CPY0073 unittest.TestCase.assertAlmostEquals
+CPY0073 unittest.TestCase.assertNotAlmostEquals
+CPY0073 unittest.TestCase.assertRegexpMatches
+CPY0073 unittest.TestCase.assertNotRegexpMatches
+CPY0073 unittest.TestCase.assertRaisesRegexp
+CPY0073 unittest.TestCase.assertDictContainsSubset
+CPY0073 unittest.TestCase.assert_
+CPY0073 unittest.FunctionTestCase.failUnless
+CPY0073 unittest.FunctionTestCase.failIf
+CPY0073 unittest.FunctionTestCase.failUnlessEqual
+CPY0073 unittest.FunctionTestCase.failIfEqual
+CPY0073 unittest.FunctionTestCase.failUnlessAlmostEqual
+CPY0073 unittest.FunctionTestCase.failIfAlmostEqual
+CPY0073 unittest.FunctionTestCase.failUnlessRaises
+CPY0073 unittest.FunctionTestCase.assertEquals
+CPY0073 unittest.FunctionTestCase.assertNotEquals
+CPY0073 unittest.FunctionTestCase.assertAlmostEquals
+CPY0073 unittest.FunctionTestCase.assertNotAlmostEquals
+CPY0073 unittest.FunctionTestCase.assertRegexpMatches
+CPY0073 unittest.FunctionTestCase.assertNotRegexpMatches
+CPY0073 unittest.FunctionTestCase.assertRaisesRegexp
+CPY0073 unittest.FunctionTestCase.assertDictContainsSubset
+CPY0073 unittest.FunctionTestCase.assert_
+CPY0073 unittest.IsolatedAsyncioTestCase.failUnless
+CPY0073 unittest.IsolatedAsyncioTestCase.failIf
+CPY0073 unittest.IsolatedAsyncioTestCase.failUnlessEqual
+CPY0073 unittest.IsolatedAsyncioTestCase.failIfEqual
+CPY0073 unittest.IsolatedAsyncioTestCase.failUnlessAlmostEqual
+CPY0073 unittest.IsolatedAsyncioTestCase.failIfAlmostEqual
+CPY0073 unittest.IsolatedAsyncioTestCase.failUnlessRaises
+CPY0073 unittest.IsolatedAsyncioTestCase.assertEquals
+CPY0073 unittest.IsolatedAsyncioTestCase.assertNotEquals
+CPY0073 unittest.IsolatedAsyncioTestCase.assertAlmostEquals
+CPY0073 unittest.IsolatedAsyncioTestCase.assertNotAlmostEquals
+CPY0073 unittest.IsolatedAsyncioTestCase.assertRegexpMatches
+CPY0073 unittest.IsolatedAsyncioTestCase.assertNotRegexpMatches
+CPY0073 unittest.IsolatedAsyncioTestCase.assertRaisesRegexp
+CPY0073 unittest.IsolatedAsyncioTestCase.assertDictContainsSubset
+CPY0073 unittest.IsolatedAsyncioTestCase.assert_
+CPY0073 unittest._TextTestResult
+CPY0074 importlib.abc.Finder.find_module
+CPY0074 importlib.abc.MetaPathFinder.find_module
+CPY0074 importlib.abc.PathEntryFinder.find_loader
+CPY0074 importlib.abc.PathEntryFinder.find_module
+CPY0074 importlib.machinery.FileFinder.find_loader
+CPY0074 importlib.machinery.FileFinder.find_module
+CPY0074 importlib.machinery.BuiltinImporter.find_module
+CPY0074 importlib.machinery.FrozenImporter.find_module
+CPY0074 importlib.machinery.PathFinder.find_module
+CPY0074 importlib.machinery.WindowsRegistryFinder.find_module
+CPY0077 zipimport.zipimporter.find_loader
+CPY0079 typing.re
+CPY0084 importlib.util.module_for_loader
+CPY0084 importlib.util.set_loader
+CPY0084 importlib.util.set_package
 CPY0088 urllib.request.FancyURLopener
 CPY0092 calendar.February
 CPY0093 datetime.datetime.utcfromtimestamp
 CPY0095 sys.last_value
 CPY0095 sys.last_traceback
 CPY0096 typing.Sized
+CPY0105 argparse.FileType
+CPY0109 os.spawnl
+CPY0109 os.spawnle
+CPY0109 os.spawnlp
+CPY0109 os.spawnlpe
+CPY0109 os.spawnv
+CPY0109 os.spawnve
+CPY0109 os.spawnvp
+CPY0109 os.spawnvpe
+CPY0110 pathlib.PurePosixPath.as_uri
+CPY0110 pathlib.PureWindowsPath.as_uri
+CPY0113 tkinter.Variable.trace_vdelete
+CPY0113 tkinter.Variable.trace_vinfo
+CPY0113 tkinter.StringVar.trace_variable
+CPY0113 tkinter.StringVar.trace_vdelete
+CPY0113 tkinter.StringVar.trace_vinfo
+CPY0113 tkinter.IntVar.trace_variable
+CPY0113 tkinter.IntVar.trace_vdelete
+CPY0113 tkinter.IntVar.trace_vinfo
+CPY0113 tkinter.DoubleVar.trace_variable
+CPY0113 tkinter.DoubleVar.trace_vdelete
+CPY0113 tkinter.DoubleVar.trace_vinfo
+CPY0113 tkinter.BooleanVar.trace_variable
+CPY0113 tkinter.BooleanVar.trace_vdelete
+CPY0113 tkinter.BooleanVar.trace_vinfo
+CPY0116 logging.Logger.warn
+CPY0116 logging.LoggerAdapter.warn
+CPY0117 sre_constants
+CPY0117 sre_parse
+CPY0119 ssl.SSLSocket.selected_npn_protocol
+CPY0119 ssl.SSLObject.selected_npn_protocol
+CPY0120 ssl.OP_NO_SSLv3
+CPY0121 ssl.OP_NO_TLSv1_1
+CPY0121 ssl.OP_NO_TLSv1_2
+CPY0121 ssl.OP_NO_TLSv1_3
+CPY0122 ssl.PROTOCOL_TLSv1
+CPY0122 ssl.PROTOCOL_TLSv1_1
+CPY0122 ssl.PROTOCOL_TLSv1_2
+CPY0124 ssl.TLSVersion.TLSv1
+CPY0124 ssl.TLSVersion.TLSv1_1
+CPY0125 threading.activeCount
+CPY0125 threading.Condition.notifyAll
+CPY0125 threading.Event.isSet
+CPY0125 threading.Thread.getName
+CPY0125 threading.Thread.setName
+CPY0125 threading.Thread.isDaemon
+CPY0125 threading.Thread.setDaemon
+CPY0125 threading.Timer.getName
+CPY0125 threading.Timer.setName
+CPY0125 threading.Timer.isDaemon
+CPY0125 threading.Timer.setDaemon
+CPY0127 urllib.parse.splithost
+CPY0127 urllib.parse.splitnport
+CPY0127 urllib.parse.splitpasswd
+CPY0127 urllib.parse.splitport
+CPY0127 urllib.parse.splitquery
+CPY0127 urllib.parse.splittag
+CPY0127 urllib.parse.splittype
+CPY0127 urllib.parse.splituser
+CPY0127 urllib.parse.splitvalue
+CPY0127 urllib.parse.to_bytes
+CPY0129 enum.EnumType.__getattr__
+CPY0132 opcode.MIN_PSEUDO_OPCODE
+CPY0132 opcode.MAX_PSEUDO_OPCODE
+CPY0137 importlib.abc.ResourceLoader.load_module
+CPY0137 importlib.abc.InspectLoader.load_module
+CPY0137 importlib.abc.ExecutionLoader.load_module
+CPY0137 importlib.abc.FileLoader.load_module
+CPY0137 importlib.abc.SourceLoader.load_module
+CPY0137 importlib.machinery.BuiltinImporter.load_module
+CPY0137 importlib.machinery.FrozenImporter.load_module
+CPY0137 importlib.machinery.SourceFileLoader.load_module
+CPY0137 importlib.machinery.SourcelessFileLoader.load_module
+CPY0137 importlib.machinery.ExtensionFileLoader.load_module
+CPY0137 importlib.machinery.NamespaceLoader.load_module
+CPY0137 importlib.machinery.AppleFrameworkLoader.load_module
+CPY0137 importlib.util.LazyLoader.load_module
 """
 RETIRED = ("CPY0048", "CPY0081")
 # Minor version, status, dates of release or of the expected final.
@@ -308,10 +560,10 @@ def _shape(name: str, text: str) -> Matcher:
     for part in text.split(","):
         key, _, value = part.partition("=")
         if key in ("required", "forbidden"):
-            setattr(m, key, (value,))
+            setattr(m, key, (*getattr(m, key), value))
         elif key == "literal":
             where, kind, *rest = value.split(":")
-            m.literals = ((int(where) if where.isdigit() else None, None if where.isdigit() else where, kind, rest[0] if rest else "None"),)
+            m.literals += ((int(where) if where.isdigit() else None, None if where.isdigit() else where, kind, rest[0] if rest else "None"),)
         else:
             setattr(m, {"min": "min_pos", "max": "max_pos"}.get(key, key), int(value))
     return m
@@ -346,11 +598,11 @@ def bundled() -> Registry:
                 name = EVENTS[code]
                 events.append((name, minor(version.rstrip("?")), "scheduled" if version.endswith("?") else "released", "python-docs", IMPACTS[name]))
         if kind == "module":
-            matchers = [Matcher("module-import", subject), Matcher("literal-dynamic-import", subject, confidence="medium")]
+            matchers = [x for n in (subject, *also.get(rule, ())) for x in (Matcher("module-import", n), Matcher("literal-dynamic-import", n, confidence="medium"))]
         elif kind == "syntax":
             matchers = [Matcher("builtin-pattern", subject)]
         elif rule in shapes:
-            matchers = shapes[rule]
+            matchers = [*(Matcher("qualified-reference", n) for n in also.get(rule, ())), *shapes[rule]]
         elif rule == "CPY0076":
             matchers = [Matcher("qualified-call", subject)]
         else:

@@ -50,6 +50,21 @@ def test_matchers(run):
     ]
 
 
+def test_further_names_of_a_rule(run):
+    s = run({
+        "a.py": "from urllib import parse\nparse.splitattr\nparse.splithost\nparse.splitquery\nparse.to_bytes\n",
+        "b.py": "import ssl\nssl.OP_NO_TLSv1\nssl.OP_NO_TLSv1_1\nssl.PROTOCOL_TLSv1_2\n",
+        "c.py": "import sre_parse\n",
+        "d.py": "from pathlib import Path\nPath.relative_to(a, b)\nPath.relative_to(a, b, c)\n",
+    }, horizon=16)
+    assert rows(s, "path", "sl", "rule_id") == [
+        ("a.py", 2, "CPY0127"), ("a.py", 3, "CPY0127"), ("a.py", 4, "CPY0127"), ("a.py", 5, "CPY0127"),
+        ("b.py", 2, "CPY0121"), ("b.py", 3, "CPY0121"), ("b.py", 4, "CPY0122"),
+        ("c.py", 1, "CPY0117"),
+        ("d.py", 3, "CPY0047"),
+    ]
+
+
 def test_local_modules_withhold(run):
     s = run({"a.py": "import cgi\nimport uu\nimport importlib\nimportlib.import_module('cgi')\n"}, modules={"cgi": ["cgi.py"]})
     assert [r[2] for r in rows(s, "path", "sl", "rule_id")] == ["CPY0021"]

@@ -47,6 +47,13 @@ def test_bundled_registry():
     assert R.load().revision == r.revision
 
 
+def test_bundled_matchers():
+    import collections
+
+    kinds = collections.Counter(m.kind for r in R.bundled().rules for m in r.matchers)
+    assert kinds == {"qualified-reference": 283, "call-shape": 109, "module-import": 30, "literal-dynamic-import": 30, "builtin-pattern": 1, "qualified-call": 1}
+
+
 def test_registry_directory(tmp_path):
     r = R.load(registry_at(tmp_path))
     assert r.find("OLD").id == "CPY9001" and r.rules[0].matchers[1].literals == ((0, None, "null", "None"),) and r.horizon == 11
