@@ -34,3 +34,14 @@ def test_awkward_rows_pass_through(spark, sf):
     assert docs.count() == 3
     assert corpus_pipeline.STAGES[3][1](spark, docs, sf).columns == docs.columns
     assert corpus_pipeline.encode_ids(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
+def test_one_of_each_group_with_null_and_repeated_ids(spark, sf):
+    ship(spark)
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(None, one), (None, one), (4, one), (7, two), (7, two), (9, two), (5, three), (5, "text of its own under the id of another one"), (2, three), (None, "null id and text of its own in this row"), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    got = corpus_pipeline.one_of_each_group(spark, docs, sf)
+    want = [(None, one), (7, two), (5, rows[7][1]), (2, three), rows[9], (8, None), (8, None)]
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
