@@ -89,26 +89,54 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def parse_section(packet: bytes, at: int) -> bytes | None:
-    """The section that begins in a packet, None where it is cut or its CRC is wrong."""
-    at += 1 + packet[at]
-    if at + 3 > PACKET:
-        return None
-    size = 3 + (struct.unpack_from(">H", packet, at + 1)[0] & 0x0FFF)
-    sect = packet[at : at + size]
-    return sect if len(sect) == size and size >= 12 and crc32_mpeg(sect) == 0 else None
-
-
-_sections: dict[bytes, bytes | None] = {}
-
-
-def section_of(packet: bytes, at: int) -> bytes | None:
-    key = packet[at:]
-    if key not in _sections:
-        if len(_sections) > 1000:
-            _sections.clear()
-        _sections[key] = parse_section(packet, at)
-    return _sections[key]
+_sound: dict[bytes, bool] = {}
+
+
+def sound(sect: bytes) -> bool:
+    """Whether a section's length and CRC are right."""
+    if sect not in _sound:
+        if len(_sound) > 1000:
+            _sound.clear()
+        _sound[sect] = len(sect) >= 12 and crc32_mpeg(sect) == 0
+    return _sound[sect]
+
+
+def join_sections(packets):
+    """Sections of one PID from (counter, begins, payload) of its packets in order, None for each that is cut."""
+    rest, last = b"", None
+    for counter, begins, data in packets:
+        if (counter, begins, data) == last and not (begins and not rest):
+            continue  # sent twice
+        if rest and last is not None and counter != (last[0] + 1) & 15:
+            rest = b""
+            yield None
+        last = (counter, begins, data)
+        if begins:
+            at = 1 + data[0]
+            if at > len(data):
+                rest = b""
+                yield None
+                continue
+            parts = [(rest + data[1:at], True)] if rest else []
+            parts.append((data[at:], False))
+        elif rest:
+            parts = [(rest + data, False)]
+        else:
+            continue
+        rest = b""
+        for part, ends in parts:
+            while part and part[0] != 0xFF:
+                size = 3 + (struct.unpack_from(">H", part, 1)[0] & 0x0FFF) if len(part) >= 3 else 3
+                if len(part) < max(size, 3) or size == 3:
+                    if ends or (size == 3 and len(part) >= 3):
+                        yield None
+                    else:
+                        rest = part
+                    break
+                yield part[:size]
+                part = part[size:]
+    if rest:
+        yield None
 
 
 def demux(stream: bytes) -> dict:
@@ -123,9 +151,9 @@ def demux(stream: bytes) -> dict:
     begins = p[:, 1] & 0x40 != 0
 
     def sections(of):
-        for i in np.flatnonzero(good & (pid == of) & begins & (control & 1 != 0)):
-            sect = section_of(p[i].tobytes(), int(head[i]))
-            if sect is None:
+        at = np.flatnonzero(good & (pid == of) & (control & 1 != 0) & (head < PACKET))
+        for sect in join_sections((int(p[i, 3]) & 15, bool(begins[i]), p[i, head[i] :].tobytes()) for i in at):
+            if sect is None or not sound(sect):
                 faults["crc"] += 1
             else:
                 yield sect

@@ -285,6 +285,24 @@ def test_media_faults():
     assert media.demux(bytes(m))["faults"]["crc"] == 1
 
 
+def test_media_long_tables():
+    import struct
+
+    def packets(pid, sections):
+        data = b"\0" + sections
+        cut = [data[i : i + 184] for i in range(0, len(data), 184)]
+        return [struct.pack(">BHB", 0x47, (0 if i else 0x4000) | pid, 0x10 | i & 15) + c.ljust(184, b"\xff") for i, c in enumerate(cut)]
+
+    pat = media.section(0, 1, b"".join(struct.pack(">HH", n, 0xE000 | (media.PMT_PID if n == 60 else 0x1100 + n)) for n in range(1, 61)))
+    own = struct.pack(">HH", 0xE000 | media.ES_PID, 0xF000) + struct.pack(">BHH", media.STREAM_TYPE, 0xE000 | media.ES_PID, 0xF000 + 200) + b"d" * 200
+    pmt = media.section(2, 60, own)
+    rest = media.mux(b"x" * 40000)[len(media.TABLES) :]
+    got = media.demux(b"".join(packets(0, pat) + packets(media.PMT_PID, pmt)) + rest)
+    assert got["faults"]["crc"] == 0 and b"".join(u[1] for u in got["units"]) == b"x" * 40000
+    lost = media.demux(b"".join(packets(0, pat)[:1] + packets(media.PMT_PID, pmt)) + rest)
+    assert lost["faults"]["crc"] == 1 and not lost["units"]
+
+
 def test_mixing(docs):
     out = mixing.weigh(docs)
     cells = out.select("source", "lang", "mix.*").groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t"), F.first("factor").alias("f")).collect()
