@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.llm.graph import components, forest
 from driftgauge.llm.substring import LEAST, by_doc, cat, rows, table, text_groups, with_bucket
-from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, checkpoint, documents, mix, plan_bytes
+from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, checkpoint, documents, lean, mix, plan_bytes
 
 K, THRESHOLD = 5, (75, 100)
 #: Sets that one search task indexes at most; larger blocks are cut into chunks.
@@ -370,11 +370,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     width = min(8, max(5, ceil((log2(max(plan_bytes(df), 1)) + 10) / 8)))
     docs = with_bucket(df, id_col, text_col, n_docs)
     posted = docs.select("id", "text").mapInArrow(_count(n_buckets, n_docs, k, width), COUNTED)
-    counts = posted.groupBy("key").applyInArrow(_frequencies(n_docs, width), COUNTED)
-    made = docs.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_prefixes(k, threshold, width, n_buckets), SETS)
+    counts = posted.groupBy("key").applyInArrow(lean(_frequencies(n_docs, width)), COUNTED)
+    made = docs.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(lean(_prefixes(k, threshold, width, n_buckets)), SETS)
     made = checkpoint(made)
 
-    stars = made.where("kind = 2").groupBy("id").applyInArrow(_stars(threshold), "a long, b long")
+    stars = made.where("kind = 2").groupBy("id").applyInArrow(lean(_stars(threshold)), "a long, b long")
     blocks = checkpoint(components(stars))
     sets = made.where("kind = 1").groupBy("sid").agg(F.max("items").alias("items"))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / block).cast("int").alias("chunks"))
@@ -382,7 +382,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     chunk = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
     inside = inside.select(F.col("component").alias("block"), F.explode(chunk).alias("chunk"), "chunks", "sid", "items", F.lit(False).alias("far"))
     keyed = F.pmod(F.xxhash64("block", "chunk"), F.lit(n_buckets))
-    links = inside.groupBy(keyed.alias("key")).applyInArrow(_search(threshold), "a long, b long")
+    links = inside.groupBy(keyed.alias("key")).applyInArrow(lean(_search(threshold)), "a long, b long")
     large = sizes.where("chunks > 1")
     if large.limit(1).count():
         links = checkpoint(links)
@@ -395,7 +395,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         away = rest.select(F.col("component").alias("block"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sid", "items", F.lit(True).alias("far"))
         away = away.where("home <> chunk").drop("home")
         here = inside.join(large, F.col("block") == F.col("component"), "left_semi").drop("chunks")
-        more = here.unionByName(away).groupBy(keyed.alias("key")).applyInArrow(_search(threshold), "a long, b long")
+        more = here.unionByName(away).groupBy(keyed.alias("key")).applyInArrow(lean(_search(threshold)), "a long, b long")
         links = links.union(more)
     reach = components(links)
     info = made.where("kind = 0").select("id", "n", "sid")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, documents, mix, powers, slices, string_bytes, trim
+from driftgauge.llm.text import Words, batches, bucket_count, by_bucket, documents, lean, mix, powers, slices, string_bytes
 
 SIZE, GRAM = 20, 5
 LEAST = -(2**63)
@@ -58,8 +58,19 @@ def windows(w: Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
     return starts, mix(full)[starts], least[starts], place[starts]
 
 
+#: The multipliers of the 64-bit hash that Spark's xxhash64 takes of a long, and its seed: fixed values.
+XX1, XX2, XX3, XX4, XX5, XX_SEED = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 42
+
+
 def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (ids ^ (ids >> 17)) % n
+    """pmod(xxhash64(id), n), as with_bucket has it."""
+    u = np.uint64
+    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
+    h = turn(ids.astype(np.int64).view(u) * u(XX2), 31) * u(XX1) ^ u((XX_SEED + XX5 + 8) % 2**64)
+    h = turn(h, 27) * u(XX1) + u(XX4)
+    h = (h ^ (h >> u(33))) * u(XX2)
+    h = (h ^ (h >> u(29))) * u(XX3)
+    return (h ^ (h >> u(32))).view(np.int64) % n
 
 
 def id_column(col):
@@ -68,7 +79,7 @@ def id_column(col):
 
 def with_bucket(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     out = df.select(id_column(id_col).alias("id"), F.col(text_col).alias("text"))
-    return out.withColumn("part", F.pmod(F.col("id").bitwiseXOR(F.shiftright("id", 17)), F.lit(n)).cast("int"))
+    return out.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
 def rows(key: np.ndarray, bounds: np.ndarray, **arrays: np.ndarray) -> dict:
@@ -192,7 +203,6 @@ def text_groups(t: pa.Table):
     ids = t.column("id").to_numpy()
     for a, b in slices(np.diff(off)):
         yield ids[a:b], buf[off[a] : off[b]], off[a : b + 1] - off[a]
-    trim()
 
 
 def first_of_each(h, d, s):
@@ -308,11 +318,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: i
     n_docs = bucket_count(df, 2.0)
     docs = with_bucket(df, id_col, text_col, n_docs)
     owners = docs.select("id", "text").mapInArrow(_owners(n_buckets, n_docs, size, gram), OWNERS)
-    live = owners.groupBy("key").applyInArrow(_seen_twice(n_docs), OWNERS)
-    dealt = docs.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(_deal(n_buckets, n_docs, size, gram), DEALT)
-    factors = dealt.groupBy("key").applyInArrow(_index(n_docs), DEALT)
+    live = owners.groupBy("key").applyInArrow(lean(_seen_twice(n_docs)), OWNERS)
+    dealt = docs.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(lean(_deal(n_buckets, n_docs, size, gram)), DEALT)
+    factors = dealt.groupBy("key").applyInArrow(lean(_index(n_docs)), DEALT)
     more = ", kept string, factors array<struct<start:int,words:int,ref_doc:bigint,ref_start:int>>" if keep_text else ""
-    out = docs.groupBy("part").cogroup(factors.groupBy("part")).applyInArrow(_remove(size, keep_text), f"id long, n_words long, n_removed long, kept_sha256 string{more}")
+    out = docs.groupBy("part").cogroup(factors.groupBy("part")).applyInArrow(lean(_remove(size, keep_text)), f"id long, n_words long, n_removed long, kept_sha256 string{more}")
     return out.withColumn("id", F.when(F.col("id") != LEAST, F.col("id"))).withColumnRenamed("id", id_col)
 
 

@@ -13,8 +13,11 @@ import math
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled by one numpy pass; a longer text is handled alone and whole.
-CHUNK = 4 << 20
+#: Bytes of text handled by one numpy pass (a longer text is handled alone and whole), and so many before a task
+#: sends what it found in them, so that rows of an exchange stay few however small the passes are.
+CHUNK, SEND = 1 << 20, 4 << 20
+#: Powers that a worker keeps; longer runs compute their own and drop them.
+KEPT_POWERS = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240117))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,7 +37,10 @@ def powers(n: int) -> np.ndarray:
     if len(_powers) < n:
         step = np.full(max(n, 1 << 12), _ODD, np.uint64)
         step[0] = 1
-        _powers = np.cumprod(step, dtype=np.uint64)
+        made = np.cumprod(step, dtype=np.uint64)
+        if n > KEPT_POWERS:
+            return made[:n]
+        _powers = made
     return _powers[:n]
 
 
@@ -118,14 +124,46 @@ class Words:
         return mix(acc[keep]), self.doc[keep]
 
 
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _M_ARENA_MAX = -1, -3, -8  # fixed values of the C library
+_frugal = False
+
+
+def frugal() -> None:
+    """Let this worker give memory back as soon as it is freed: Arrow by the C library's allocator, and large blocks mapped."""
+    global _frugal
+    if not _frugal:
+        _frugal = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL(None)
+            libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+            libc.mallopt(_M_TRIM_THRESHOLD, 4 << 20)
+            libc.mallopt(_M_ARENA_MAX, 2)
+
+
 def trim() -> None:
     """Give freed memory back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(function):
+    """A task function of tables whose worker is frugal, and gives memory back after each group."""
+
+    def run(*tables):
+        frugal()
+        try:
+            return function(*tables)
+        finally:
+            trim()
+
+    return (lambda t: run(t)) if function.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
+
+
 def batches(frames, text: str, most: int = CHUNK):
     """(record batch, bytes, offsets) of at most so many bytes of text, or of one row."""
+    frugal()
     for batch in frames:
         if not batch.num_rows:
             continue
@@ -151,10 +189,19 @@ def plan_bytes(df) -> int:
     return n if n < 1 << 55 else 0
 
 
-def bucket_count(df, expand: float, each: int = 8 << 20) -> int:
-    """Buckets so that one holds about `each` bytes of what the input expands to; at least the shuffle partitions."""
+def text_bytes(df, text_col: str = "text") -> int:
+    """Bytes of all texts, counted by a scan of that column: a function of the rows alone, whatever the files or settings."""
+    from pyspark.sql import functions as F
+
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")), F.lit(0))).first()[0]
+
+
+def bucket_count(df, expand: float, each: int = 8 << 20, size: int | None = None) -> int:
+    """Buckets so that one holds about `each` bytes of what the input expands to; at least the shuffle partitions.
+
+    Only for what no result depends on: with a size in bytes, the planner is not asked."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(plan_bytes(df) * expand / each), 1)
+    return max(least, math.ceil((plan_bytes(df) if size is None else size) * expand / each), 1)
 
 
 def checkpoint(df):

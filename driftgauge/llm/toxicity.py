@@ -6,7 +6,9 @@ classes; the features with the largest likelihood ratio G2 are kept, and a logis
 x * r with an L2 penalty gives the weights. Only the text is an input of a score.
 
 Training uses at most MAX_TRAIN labelled rows, those of least hash of their id (ties by id): a
-documented bound. The model has a fixed size, is fitted in one executor task, and is broadcast.
+documented bound; of repeated rows of an id the least text is read. Features are counted by tasks;
+the kept features of these rows, a bounded matrix, are fitted on the driver, and the model, of a fixed
+size, is broadcast. Held-out is false for a null id, which no label can name.
 Null and empty texts score the intercept alone. Labels that are null or of unknown documents are
 not used; of repeated labels of a document the largest counts. Without rows of both labels the
 score is the share of label 1 (0.5 with no rows).
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import documents, trim
+from driftgauge.llm.text import checkpoint, documents, frugal, lean, trim
 
 #: Labelled rows that the fit uses at most.
 MAX_TRAIN = 8000
 #: Sizes of the n-grams, hash bits, features kept, and smoothing of the counts.
-SIZES, BITS, FEATURES, ALPHA = (4, 5, 6), 20, 30_000, 0.5
+SIZES, BITS, FEATURES, ALPHA = (4, 5, 6), 20, 30_000, 0.5  # at most 65,536 features
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
 
@@ -44,56 +46,83 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def fit(texts: list[str | None], y: np.ndarray, steps: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights of all hashed features, and the intercept."""
-    size, y = 1 << BITS, np.asarray(y, np.float64)
-    weights = np.zeros(size, np.float32)
-    n1, n0 = y.sum(), (1 - y).sum()
-    if not n1 or not n0:
-        share = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-3), 1 - 1e-3)
-        return weights, float(np.log(share / (1 - share)))
-    rows = [np.unique(grams(t)).astype(np.int32) for t in texts]
-    df1, df0 = np.zeros(size), np.zeros(size)
-    for r, label in zip(rows, y, strict=True):
-        (df1 if label else df0)[r] += 1
+def counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of label 1 and of label 0 have each hashed feature."""
+    both = np.zeros((2, 1 << BITS), np.int32)
+    for x, label in zip(rows, y, strict=True):
+        both[0 if label else 1, x] += 1
+    return both[0], both[1]
+
+
+def select(df1: np.ndarray, df0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of largest G2, in order of hash, and the log-count ratio of each."""
     r = np.log((df1 + ALPHA) / (df1 + ALPHA).sum()) - np.log((df0 + ALPHA) / (df0 + ALPHA).sum())
     total, n = df1 + df0, n1 + n0
+    g2 = np.zeros(len(df1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = np.zeros(size)
         for seen, row, col in ((df1, total, n1), (df0, total, n0), (n1 - df1, n - total, n1), (n0 - df0, n - total, n0)):
             g2 += np.where(seen > 0, seen * np.log(seen * n / (row * col)), 0)
     g2[total < 3] = 0
     kept = np.sort(np.argsort(-g2, kind="stable")[:FEATURES])
     kept = kept[g2[kept] > 0]
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    cols = [c[c >= 0] for c in (place[x] for x in rows)]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-    scale = r[kept]
+    return kept.astype(np.int32), r[kept]
+
+
+def columns(text: str | None, kept: np.ndarray) -> np.ndarray:
+    """Which of the kept features a text has."""
+    x = np.unique(grams(text)).astype(np.int32)
+    if not len(kept) or not len(x):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(kept, x), len(kept) - 1)
+    return at[kept[at] == x].astype(np.int32)
+
+
+def regress(cols: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights of the kept features and the intercept, by Adam over all rows."""
+    y = np.asarray(y, np.float64)
+    n1, n0 = y.sum(), (1 - y).sum()
+    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    col = np.concatenate(cols) if len(row) else np.zeros(0, np.int32)
     value = scale[col]
-    norm = max(np.sqrt(np.bincount(row, value**2, len(rows)).mean()), 1e-9)
+    norm = max(np.sqrt(np.bincount(row, value**2, len(cols)).mean()), 1e-9)
     value = value / norm
-    w, b, v, vb = np.zeros(len(kept)), float(np.log(n1 / n0)), np.zeros(len(kept)), 0.0
-    m, mb = np.zeros(len(kept)), 0.0
-    for t in range(1, steps + 1):  # Adam over all rows
-        z = np.bincount(row, value * w[col], len(rows)) + b
+    k = len(scale)
+    w, b, v, vb, m, mb = np.zeros(k), float(np.log(n1 / n0)), np.zeros(k), 0.0, np.zeros(k), 0.0
+    for t in range(1, steps + 1):
+        z = np.bincount(row, value * w[col], len(cols)) + b
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw = np.bincount(col, value * g[row], len(kept)) / len(rows) + penalty * w / len(rows)
+        gw = np.bincount(col, value * g[row], k) / len(cols) + penalty * w / len(cols)
         gb = g.mean()
         m, mb, v, vb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * v + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
         rate = 0.1 / (1 + t / 60)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
-    weights[kept] = w * scale / norm
-    return weights, float(b)
+    return w * scale / norm, float(b)
+
+
+def share(n1: float, n0: float) -> float:
+    """The intercept where only one label, or none, is there."""
+    p = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-3), 1 - 1e-3)
+    return float(np.log(p / (1 - p)))
+
+
+def fit(texts: list[str | None], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of all hashed features, and the intercept, in this process."""
+    y, weights = np.asarray(y), np.zeros(1 << BITS, np.float32)
+    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
+    if not n1 or not n0:
+        return weights, share(n1, n0)
+    kept, scale = select(*counts([np.unique(grams(t)) for t in texts], y), n1, n0)
+    w, b = regress([columns(t, kept) for t in texts], y, scale)
+    weights[kept] = w
+    return weights, b
 
 
 def score(texts: list[str | None], weights: np.ndarray, b: float) -> np.ndarray:
     """Probability of label 1; each feature of a text counts once."""
     out, seen = np.empty(len(texts)), np.zeros(len(weights), np.float32)
     for i, t in enumerate(texts):
-        g = grams(t)
+        g = grams(t.as_py() if isinstance(t, pa.Scalar) else t)
         w = weights[g]
         live = w != 0
         g = g[live]
@@ -105,28 +134,60 @@ def score(texts: list[str | None], weights: np.ndarray, b: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + b, -40, 40)))
 
 
+#: Rows of a task that counts features, and features of a piece of the counts.
+TASK_ROWS, PIECE = 500, 1 << 14
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Fit on labelled rows whose crc32(id as text) mod 5 is not 0; docs holds their texts."""
+    """Fit on labelled rows whose crc32(id as text) mod 5 is not 0; docs holds their texts.
+
+    Tasks count features and pick out the kept ones; the last step sees bounded numbers alone.
+    """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
     own = own.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(most)  # bounded, so it can be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("id", "text", "y")
-
-    def run(frames):
-        got = pa.Table.from_batches(list(frames))
-        if not got.num_rows:
-            return
-        got = got.sort_by("id")
-        w, b = fit(got.column("text").to_pylist(), got.column("y").to_numpy())
-        at = np.flatnonzero(w).astype("<u4")
-        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "w": [w[at].astype("<f4").tobytes()], "b": [b]})
-
-    model = rows.repartition(1).mapInArrow(run, "at binary, w binary, b double").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = checkpoint(rows.repartition(max(1, -(-most // TASK_ROWS)), "id"))
+    n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     weights = np.zeros(1 << BITS, np.float32)
-    if not model:
-        return weights, 0.0
-    weights[np.frombuffer(model[0]["at"], "<u4")] = np.frombuffer(model[0]["w"], "<f4")
-    return weights, model[0]["b"]
+    if not n1 or not n0:
+        return weights, share(n1, n0) if n1 or n0 else 0.0
+
+    def count(frames):
+        frugal()
+        both = np.zeros((2, 1 << BITS), np.int32)
+        for batch in frames:
+            for text, label in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                both[0 if label else 1, np.unique(grams(text.as_py()))] += 1
+        for i in range(0, both.shape[1], PIECE):
+            part = both[:, i : i + PIECE]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([i // PIECE], pa.int32()), "c": [part.astype("<u2").tobytes()]})
+        trim()
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), "<u2").astype(np.int32) for c in t.column("c"))
+        return pa.table({"piece": t.column("piece")[:1], "c": [total.astype("<i4").tobytes()]})
+
+    both = np.zeros((2, 1 << BITS), np.int32)
+    for row in rows.select("text", "y").mapInArrow(count, "piece int, c binary").groupBy("piece").applyInArrow(lean(add), "piece int, c binary").collect():  # of the size of the hash
+        both[:, row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["c"], "<i4").reshape(2, -1)
+    kept, scale = select(both[0], both[1], int(n1), int(n0))
+    sent = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def pick(frames):
+        frugal()
+        for batch in frames:
+            found = [columns(t.as_py(), sent.value).astype("<u2").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "cols"])
+        trim()
+
+    kind = rows.schema["id"].dataType.simpleString()
+    picked = rows.select("id", "y", "text").mapInArrow(pick, f"id {kind}, y int, cols binary").orderBy("id").toArrow()  # at most `most` rows of kept features
+    w, b = regress([np.frombuffer(c.as_py(), "<u2").astype(np.int32) for c in picked.column("cols")], picked.column("y").to_numpy(), scale)
+    weights[kept] = w
+    return weights, b
 
 
 def classify(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -140,8 +201,9 @@ def classify(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
         where, values, b = sent.value
         weights = np.zeros(1 << BITS, np.float32)
         weights[where] = values
+        frugal()
         for batch in frames:
-            s = score(batch.column(place).to_pylist(), weights, b)
+            s = score(batch.column(place), weights, b)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, score_col])
         trim()
 
@@ -151,6 +213,6 @@ def classify(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs, documents(spark, sf_dir, "labels"))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     scored = classify(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
