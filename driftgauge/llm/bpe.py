@@ -87,6 +87,25 @@ def byte_kinds(buf: np.ndarray) -> np.ndarray:
     return kind
 
 
+def safe_cuts(buf: np.ndarray, most: int):
+    """(start, stop) of parts of a long text, cut before a space between two ASCII letters, where a piece always begins."""
+    at, n = 0, len(buf)
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    while at < n:
+        end = at + most
+        while end < n - 1:
+            x = buf[end - 1 : min(end + most, n)]
+            hit = np.flatnonzero(letter[x[:-2]] & (x[1:-1] == 0x20) & letter[x[2:]])
+            if len(hit):
+                end += int(hit[0])
+                break
+            end += most - 2
+        end = end if end < n - 1 else n
+        yield at, end
+        at = end
+
+
 class Bpe:
     """A vocabulary and its merges, from a tokenizer file of the tokenizers library."""
 
@@ -228,6 +247,9 @@ class Bpe:
         """Token ids of texts in UTF-8, end to end, and n + 1 offsets."""
         if not len(buf):
             return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+        if len(off) == 2 and len(buf) > 2 * STEP:
+            ids = np.concatenate([self.encode_bytes(buf[a:b], np.array([0, b - a]))[0].astype(np.int32) for a, b in safe_cuts(buf, STEP)])
+            return ids, np.array([0, len(ids)])
         if len(self.known) > CACHE:
             self.reset()
         begin, special = self.pieces(buf, off)

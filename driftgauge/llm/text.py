@@ -13,9 +13,9 @@ import math
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled by one numpy pass (a longer text is handled alone and whole), and so many before a task
-#: sends what it found in them, so that rows of an exchange stay few however small the passes are.
-CHUNK, SEND = 1 << 20, 4 << 20
+#: Bytes of text that a task looks at before it sends what it found (a longer text is handled alone and whole), and
+#: bytes of one numpy pass, into which any text is cut between words.
+CHUNK, PASS = 4 << 20, 1 << 20
 #: Powers that a worker keeps; longer runs compute their own and drop them.
 KEPT_POWERS = 1 << 16
 
@@ -78,33 +78,54 @@ def slices(lengths: np.ndarray, most: int = CHUNK):
         yield start, len(lengths)
 
 
+def cuts(buf: np.ndarray, off: np.ndarray, most: int):
+    """(start, stop) of runs of some most bytes that end at a text's end or behind white space."""
+    at, n = 0, len(buf)
+    while at < n:
+        end = at + most
+        while end < n:
+            space = np.flatnonzero(_SPACE[buf[end : end + most]])
+            next_text = off[np.searchsorted(off, end)]
+            end = min(end + int(space[0]) + 1 if len(space) else end + most, max(int(next_text), end))
+            if len(space) or end == next_text:
+                break
+        yield at, min(end, n)
+        at = end
+
+
+def found_words(buf: np.ndarray, inner: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of one pass; inner are the texts' bounds within it."""
+    word = ~_SPACE[buf]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[inner] = word[inner]
+    starts = np.flatnonzero(first)
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    length = np.diff(np.append(starts, len(buf)))
+    rel = np.arange(starts[0], len(buf)) - np.repeat(starts, length)
+    return starts, ends, mix(np.add.reduceat(table[buf[starts[0] :]] * powers(int(length.max()))[rel], starts - starts[0]))
+
+
 class Words:
     """Words of consecutive texts: their hashes, byte bounds, and the text of each."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool):
+        table = _LOWER if lower else _BYTE
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for a, b in cuts(buf, off, PASS):
+            inner = off[np.searchsorted(off, a, side="right") : np.searchsorted(off, b)] - a
+            starts, ends, h = found_words(buf[a:b], inner, table)
+            got.append((starts + a, ends + a, h))
+        self.starts, self.ends, self.hash = (np.concatenate(x) for x in zip(*got, strict=True))
         n = len(off) - 1
-        word = ~_SPACE[buf]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        inner = off[1:-1]
-        inner = inner[inner < len(buf)]
-        first[inner] = word[inner]
-        self.starts = np.flatnonzero(first)
-        last = word.copy()
-        last[:-1] &= ~word[1:] | first[1:]
-        self.ends = np.flatnonzero(last) + 1
         self.buf, self.n = buf, n
         self.doc = np.searchsorted(off, self.starts, side="right") - 1
         self.count = np.bincount(self.doc, minlength=n)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
-        if len(self.starts):
-            length = np.diff(np.append(self.starts, len(buf)))
-            rel = np.arange(self.starts[0], len(buf)) - np.repeat(self.starts, length)
-            table = _LOWER if lower else _BYTE
-            v = table[buf[self.starts[0] :]] * powers(int(length.max()))[rel]
-            self.hash = mix(np.add.reduceat(v, self.starts - self.starts[0]))
-        else:
-            self.hash = np.zeros(0, np.uint64)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of each k-word sequence; a text of fewer words, but one, has its whole sequence."""

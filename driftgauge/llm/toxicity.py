@@ -81,23 +81,30 @@ def regress(cols: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int
     """Weights of the kept features and the intercept, by Adam over all rows."""
     y = np.asarray(y, np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols) if len(row) else np.zeros(0, np.int32)
-    value = scale[col]
-    norm = max(np.sqrt(np.bincount(row, value**2, len(cols)).mean()), 1e-9)
-    value = value / norm
-    k = len(scale)
+    size = np.array([len(c) for c in cols])
+    row, col = np.repeat(np.arange(len(cols), dtype=np.int32), size), np.concatenate(cols) if size.sum() else np.zeros(0, np.int32)
+    back = np.argsort(col, kind="stable")
+    turned, k = row[back], len(scale)  # the rows of each feature, end to end
+    many = np.bincount(col, minlength=k)
+    norm = max(np.sqrt((many * scale**2).sum() / len(cols)), 1e-9)
+    scale = scale / norm
+    full, used = np.flatnonzero(size), np.flatnonzero(many)
+    heads, tails = (np.cumsum(size) - size)[full], (np.cumsum(many) - many)[used]
     w, b, v, vb, m, mb = np.zeros(k), float(np.log(n1 / n0)), np.zeros(k), 0.0, np.zeros(k), 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, value * w[col], len(cols)) + b
+        z, gw = np.full(len(cols), b), np.zeros(k)
+        if len(col):
+            z[full] += np.add.reduceat((w * scale).astype(np.float32)[col], heads)
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gw = np.bincount(col, value * g[row], k) / len(cols) + penalty * w / len(cols)
+        if len(col):
+            gw[used] = np.add.reduceat(g.astype(np.float32)[turned], tails)
+        gw = gw * scale / len(cols) + penalty * w / len(cols)
         gb = g.mean()
         m, mb, v, vb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * v + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
         rate = 0.1 / (1 + t / 60)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
-    return w * scale / norm, float(b)
+    return w * scale, float(b)
 
 
 def share(n1: float, n0: float) -> float:
