@@ -1,17 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame and SQL functions only.
 
 The corpus is reduced to cells (source, language, topic) with their token weights. Raking scales
-the cells in turn until their source, language and topic sums meet the targets; the targets here are
-the corpus's own shares raised to a power below one and normalised, so that dominant values shrink.
-A cell's factor is its fitted share over its own. A document is drawn with probability
-min(1, lambda * factor), lambda set so that the expected tokens are the asked share of the corpus;
-the draw is the document id's md5, so it is the same on every run and cluster.
+the cells in turn until their source, language and topic sums are within TOLERANCE of the targets. Targets
+are given as weights by value for any of the three; values that are not named share what is left. A
+margin without given targets takes the corpus's own shares raised to a power below one, so that dominant
+values shrink. Values without tokens can have no share, and the others' targets are scaled up for them.
+Targets that no weights can meet (a source of one language only, say) end after ROUNDS rounds, with the
+residual that rake() returns. A cell's factor is its fitted share over its own. A document is drawn with
+probability min(1, lambda * factor), lambda set so that the expected tokens are the asked share of the
+corpus; the draw is the document id's md5, so it is the same on every run and cluster, and rows of equal
+id are drawn alike.
 
 topic is any expression; the documents have none of their own, so the query takes the text's length
 class. A token is a run of characters other than space and TAB..CR. Null sources, languages and ids
 are values of their own; null and empty texts have no tokens, and get their cell's probability. A
-cell without tokens has factor 1. Cells are joined by broadcast only while their counted number is
-at most SMALL.
+cell without tokens has factor 1. Cells, and the targets of a margin, are joined by broadcast only while
+their counted number is at most SMALL.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 
 from driftgauge.llm.text import checkpoint, documents
 
-ROUNDS, RATE, SMALL = 12, 0.5, 50_000
+ROUNDS, TOLERANCE, RATE, SMALL = 200, 1e-4, 0.5, 50_000
+#: Rounds between two looks at the residual, the largest distance of a margin's share from its target.
+EVERY = 4
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 BANDS = (("short", 128), ("medium", 512), ("long", 2048))
 
@@ -37,39 +43,57 @@ def length_class(n: str = "n_tokens") -> Column:
     return out
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """cells with share, fitted: the shares raked to the targets of each named column."""
-    out = cells.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
-    out = out.withColumn("share", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(0.0))
+def number(df: DataFrame, value: Column) -> float:
+    return float(df.agg(F.coalesce(value, F.lit(0.0))).first()[0])
+
+
+def targets_of(cells: DataFrame, name: str, power: float, given: dict[str, float] | None) -> DataFrame:
+    """The target share of each value of a margin; they sum to 1 over values that have tokens."""
+    own = cells.groupBy(F.col(name).alias(f"{name}_")).agg(F.sum("share").alias("own"))
+    named = cells.sparkSession.createDataFrame([(str(k or ""), float(v)) for k, v in (given or {}).items()], "value string, weight double")
+    own = checkpoint(own.join(named, F.col(f"{name}_") == F.col("value"), "left").withColumn("free", F.when((F.col("own") > 0) & F.col("weight").isNull(), F.pow("own", F.lit(power))).otherwise(0.0)))
+    weight = F.when(F.col("own") > 0, F.col("weight")).otherwise(0.0)
+    said, free_ = number(own, F.sum(weight)), number(own, F.sum("free"))
+    left = max(0.0, 1.0 - said) if free_ else 0.0
+    raw = F.coalesce(weight, F.lit(0.0)) + F.col("free") * F.lit(left / free_ if free_ else 0.0)
+    return own.select(f"{name}_", (raw / F.lit((said + left) or 1.0)).alias(f"target_{name}"))
+
+
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """cells with share, fitted: the shares raked to the targets of each named column; and the largest distance of a sum from its target."""
+    total = number(cells, F.sum("tokens").cast("double"))
+    out = checkpoint(cells.withColumn("share", F.col("tokens") / F.lit(total) if total else F.lit(0.0)))
     for name, power in powers.items():
-        own = F.sum("share").over(Window.partitionBy(name))
-        out = out.withColumn("own", own).withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy(*powers)))
-        each = F.when((F.col("rank") == 1) & (F.col("own") > 0), F.pow("own", F.lit(power))).otherwise(0.0)
-        out = out.withColumn("each", each).withColumn("all", F.sum("each").over(Window.partitionBy(F.lit(0))))
-        out = out.withColumn(f"target_{name}", F.when(F.col("own") > 0, F.pow("own", F.lit(power)) / F.col("all")).otherwise(0.0)).drop("own", "rank", "each", "all")
-    out = checkpoint(out.withColumn("fitted", F.col("share")))
-    for i in range(rounds):
-        for name in powers:
-            own = F.sum("fitted").over(Window.partitionBy(name))
-            out = out.withColumn("own", own).withColumn("fitted", F.when(F.col("own") > 0, F.col("fitted") * F.col(f"target_{name}") / F.col("own")).otherwise(0.0)).drop("own")
-        if i % 4 == 3:
-            out = checkpoint(out)
-    return out
+        side = targets_of(out, name, power, (targets or {}).get(name))
+        out = out.join(F.broadcast(side) if side.count() <= SMALL else side, F.col(name) == F.col(f"{name}_"), "left").drop(f"{name}_")
+    out, residual = checkpoint(out.withColumn("fitted", F.col("share"))), 1.0
+    few = out.count() <= SMALL  # then one task holds them, and no round needs an exchange
+    turns = "{cells}"
+    for name in [*powers] * EVERY:
+        own = f"SUM(fitted) OVER (PARTITION BY {name})"
+        turns = f"(SELECT * EXCEPT (fitted, own), CASE WHEN own > 0 THEN fitted * target_{name} / own ELSE 0 END AS fitted FROM (SELECT *, {own} AS own FROM {turns}))"
+    done = 0
+    while done < rounds and residual > tolerance:
+        out = checkpoint(cells.sparkSession.sql("SELECT * FROM " + turns, cells=out.coalesce(1) if few else out))
+        far = [F.abs(F.sum("fitted").over(Window.partitionBy(name)) - F.col(f"target_{name}")) for name in powers]
+        residual = number(out.select(F.greatest(*far).alias("far")), F.max("far"))
+        done += EVERY
+    return out, residual
 
 
 def probabilities(fitted: DataFrame, rate: float = RATE) -> DataFrame:
-    """fitted with factor and prob; the cells are few, so one task may order them."""
+    """fitted with factor and prob. Cells that lambda pushes over one are capped, and lambda is raised for the others, until none is left."""
     f = F.when(F.col("share") > 0, F.col("fitted") / F.col("share")).otherwise(1.0)
-    out = fitted.withColumn("factor", f)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("factor"), *POWERS)
-    above = down.rowsBetween(Window.unboundedPreceding, -1)
-    rest = down.rowsBetween(0, Window.unboundedFollowing)
-    left = F.lit(rate) - F.coalesce(F.sum("share").over(above), F.lit(0.0))
-    out = out.withColumn("scale", F.try_divide(left, F.sum(F.col("share") * F.col("factor")).over(rest)))
-    # the first cell, from the largest factor down, that the scale of the rest does not push over one
-    fits = F.when((F.col("scale") * F.col("factor") <= 1) & (F.col("share") > 0), F.col("scale"))
-    out = out.withColumn("lambda", F.first(fits, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return out.withColumn("prob", F.least(F.lit(1.0), F.coalesce(F.col("lambda"), F.lit(1.0)) * F.col("factor"))).drop("scale", "lambda")
+    out = checkpoint(fitted.withColumn("factor", f))
+    lam = 0.0
+    while True:
+        capped = F.lit(lam) * F.col("factor") > 1
+        whole, part = out.agg(F.coalesce(F.sum(F.when(capped, F.col("share"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("share") * F.col("factor"))), F.lit(0.0))).first()
+        new = (rate - whole) / part if part else lam or 1.0
+        if new <= lam:
+            break
+        lam = new
+    return out.withColumn("prob", F.least(F.lit(1.0), F.lit(lam) * F.col("factor")))
 
 
 def free(taken: list[str], name: str) -> str:
@@ -84,14 +108,16 @@ def draw(id_col: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def weigh(df: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rate: float = RATE, name: str = "mix") -> DataFrame:
-    """df with a struct column, mix or the given name: n_tokens, topic, factor, prob, kept."""
+def weigh(df: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", rate: float = RATE, targets: dict[str, dict[str, float]] | None = None, name: str = "mix") -> DataFrame:
+    """df with a struct column, mix or the given name: n_tokens, topic, factor, prob, kept.
+
+    targets: {"source": {value: share, ...}, "lang": ..., "topic": ...}, each as far as wanted; null is the value ""."""
     cols = df.columns
     docs = df.withColumn(name, F.struct(tokens(text_col).alias("n_tokens")))
     docs = docs.withColumn(name, F.struct(f"{name}.n_tokens", (topic if topic is not None else length_class(f"{name}.n_tokens")).alias("topic"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")))
     keys = list(POWERS)
     cells = docs.groupBy(*[F.col(f"{name}.{k}").alias(k) for k in keys]).agg(F.sum(f"{name}.n_tokens").cast("long").alias("tokens"))
-    fitted = checkpoint(probabilities(rake(cells), rate))
+    fitted = checkpoint(probabilities(rake(checkpoint(cells), targets=targets)[0], rate))
     cell = free(cols, "mix_cell")
     side = fitted.select(F.struct(*keys, "factor", "prob").alias(cell))
     if fitted.count() <= SMALL:
@@ -125,12 +151,13 @@ def _sql() -> str:
     for name, power in POWERS.items():
         steps.append(f"t_{name} AS (SELECT {name}, p / sum(p) OVER () AS target_{name} FROM (SELECT {name}, pow(sum(share), {power}) AS p FROM shares GROUP BY {name} HAVING sum(share) > 0))")
     steps.append(f"f0 AS MATERIALIZED (SELECT *, share AS fitted FROM {last} " + " ".join(f"LEFT JOIN t_{n} USING ({n})" for n in POWERS) + ")")
-    last = "f0"
-    for i in range(ROUNDS):
-        for name in POWERS:
-            new = f"f{i}_{name}"
-            steps.append(f"{new} AS MATERIALIZED (SELECT * EXCLUDE (fitted), CASE WHEN own > 0 THEN fitted * target_{name} / own ELSE 0 END AS fitted FROM (SELECT * , sum(fitted) OVER (PARTITION BY {name}) AS own FROM {last}))".replace("* EXCLUDE (fitted)", "* EXCLUDE (fitted, own)"))
-            last = new
+    inner = f"loop WHERE round < {ROUNDS} AND (round % {EVERY} <> 0 OR far > {TOLERANCE})"
+    for name in POWERS:
+        scaled = f"CASE WHEN own > 0 THEN fitted * target_{name} / own ELSE 0 END AS fitted"
+        inner = f"(SELECT * EXCLUDE (fitted, own), {scaled} FROM (SELECT *, sum(fitted) OVER (PARTITION BY {name}) AS own FROM {inner}))"
+    far = ", ".join(f"abs(sum(fitted) OVER (PARTITION BY {name}) - target_{name})" for name in POWERS)
+    steps.append(f"loop AS (SELECT *, 1.0::DOUBLE AS far, 0 AS round FROM f0 UNION ALL SELECT * EXCLUDE (fitted, far, round), fitted, max(off) OVER () AS far, round + 1 FROM (SELECT *, greatest({far}) AS off FROM {inner}))".replace("EXCLUDE (fitted, far, round), fitted", "EXCLUDE (fitted, far, round, off), fitted"))
+    last = "loop WHERE round = (SELECT max(round) FROM loop)"
     down = f"ORDER BY factor DESC, {keys}"
     steps += [
         f"g AS (SELECT *, CASE WHEN share > 0 THEN fitted / share ELSE 1 END AS factor FROM {last})",
@@ -139,7 +166,7 @@ def _sql() -> str:
         "p AS (SELECT source, lang, topic, factor, least(1.0, coalesce(lam, 1) * factor) AS prob FROM g, l)",
     ]
     return (
-        "WITH " + ",\n".join(steps) + "\nSELECT e.doc_id, e.source, e.lang, e.topic, e.n_tokens, round(p.factor, 6) AS factor, round(p.prob, 6) AS prob, "
+        "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT e.doc_id, e.source, e.lang, e.topic, e.n_tokens, round(p.factor, 6) AS factor, round(p.prob, 6) AS prob, "
         f"('0x' || substr(md5(coalesce(e.doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(16**12)!r} < p.prob AS kept "
         "FROM e JOIN p ON coalesce(e.source, '') = p.source AND coalesce(e.lang, '') = p.lang AND e.topic = p.topic"
     )
