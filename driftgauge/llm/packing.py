@@ -1,13 +1,14 @@
 """Token-id output: best-fit-decreasing packing with a segment tree over remaining capacities.
 
-Documents are dealt to shards by id, each of bounded size, and encoded there; an end-of-text token
-closes each. A document longer than a row is split without loss: whole rows of its own, and a rest.
+Documents are dealt to shards by id and text, and encoded there; an end-of-text token closes each. The
+number of shards follows from the bytes of all texts, so rows are the same on any cluster and setting. A document longer than a row is split without loss: whole rows of its own, and a rest.
 The rests, longest first, go each to the row with the least remaining capacity that holds it, which
 the segment tree finds in log(row length) steps. Each row has its ids, the cumulative lengths of its
 segments, and the offsets at which positions begin anew.
 
-Null and empty texts are the end token alone, so every row of df is in the output once. A null id
-comes back null.
+Null and empty texts are the end token alone, so every row of df is in the output once, repeated rows
+as often as they stand there. Ties in length go by id, then text, then place. A null id comes back null.
+Ids are integers.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.llm.bpe import default_path, load
-from driftgauge.llm.substring import LEAST, text_groups, with_bucket
-from driftgauge.llm.text import bucket_count, documents
+from driftgauge.llm.substring import LEAST, id_column, text_groups
+from driftgauge.llm.text import documents, lean, text_bytes
 
-LENGTH = 2048
+LENGTH, END = 2048, "<|endoftext|>"
+#: Bytes of text of a shard, on average.
+SHARD = 8 << 20
 
 
 class Capacities:
@@ -71,14 +74,15 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return out
 
 
-def pack(df: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 50256) -> DataFrame:
+def pack(df: DataFrame, length: int = LENGTH, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_token: str = END) -> DataFrame:
     """One row for each packed row: shard, row, n_tokens, n_segments, input_ids (little-endian 16 or 32 bits,
     filled up with the end token), cu_seqlens, position_resets, and of each segment its id and start in its document."""
     path = path or default_path()
-    n = bucket_count(df, 2.0)
+    n = max(1, -(-text_bytes(df, text_col) // SHARD))
 
     def run(t: pa.Table) -> pa.Table:
         bpe = load(path)
+        end_id = bpe.added[end_token]
         wide = "<u2" if bpe.size <= 65536 else "<u4"
         shard = t.column("part")[0].as_py()
         pieces, data = [], []
@@ -103,7 +107,8 @@ def pack(df: DataFrame, length: int = LENGTH, path: str | None = None, id_col: s
         return pa.table([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     schema = "shard int, row int, n_tokens int, n_segments int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<int>"
-    return with_bucket(df, id_col, text_col, n).groupBy("part").applyInArrow(run, schema)
+    docs = df.select(id_column(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).groupBy("part").applyInArrow(lean(run), schema)
 
 
 def write(packed: DataFrame, path: str) -> None:
