@@ -7,8 +7,11 @@ the clock reference. The reader checks sync bytes, table CRCs and continuity cou
 the elementary packets, and keeps for each its timestamp, its size, and whether it is a
 random-access point.
 
-A null or empty payload is stored as any other. Lost or repeated counters are counted, duplicates
-dropped as the standard has it, and scrambled or faulty packets passed over and counted.
+A null or empty payload is stored as any other, and repeated rows alike. A packet with the counter of
+the one before is a duplicate, and dropped, only if their bytes are equal but for the clock reference;
+another one with that counter, or one with a counter out of turn, means lost packets, unless its
+discontinuity indicator says otherwise. A unit with packets lost is kept and named among the damaged.
+Scrambled or faulty packets are passed over and counted.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import documents
+from driftgauge.llm.text import documents, frugal
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, PROGRAM, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 1, 0x06, 0xBD
@@ -139,8 +142,17 @@ def join_sections(packets):
         yield None
 
 
+def equal_packets(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two packets are one sent twice; the clock reference of a copy may differ."""
+    a, b = a.copy(), b.copy()
+    for x in (a, b):
+        if x[3] & 0x20 and x[4] >= 7 and x[5] & 0x10:
+            x[6:12] = 0
+    return bool((a == b).all())
+
+
 def demux(stream: bytes) -> dict:
-    """pids of the program, elementary packets (bytes, timestamp, random access), and counts of faults."""
+    """pids of the program, elementary packets (bytes, timestamp, random access), the numbers of those damaged, and counts of faults."""
     n = len(stream) // PACKET
     p = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
     faults = {"sync": int((p[:, 0] != SYNC).sum()), "lost": 0, "repeated": 0, "crc": 0, "trailing": len(stream) - n * PACKET}
@@ -171,15 +183,19 @@ def demux(stream: bytes) -> dict:
                 kind, es, more = struct.unpack_from(">BHH", sect, at)
                 streams[es & 0x1FFF] = (number, kind)
                 at += 5 + (more & 0x0FFF)
-    units = []
+    units, damaged = [], []
     for es in streams:
         at = np.flatnonzero(good & (pid == es) & (control & 1 != 0) & (head < PACKET))
         counter = p[at, 3] & 15
         step = (np.diff(counter.astype(np.int32)) & 15) if len(at) else np.zeros(0, np.int32)
-        same = np.append(False, step == 0)
+        same = np.zeros(len(at), bool)
+        again = np.flatnonzero(step == 0) + 1
+        same[again] = [equal_packets(p[at[i - 1]], p[at[i]]) for i in again.tolist()]
+        announced = (control[at] & 2 != 0) & (p[at, 4] > 0) & (p[at, 5] & 0x80 != 0)
+        gap = np.append(False, step != 1) & ~same & ~announced
         faults["repeated"] += int(same.sum())
-        faults["lost"] += int(((step != 1) & (step != 0)).sum())
-        at = at[~same]
+        faults["lost"] += int(gap.sum())
+        at, gap = at[~same], gap[~same]
         edge = np.flatnonzero(begins[at])
         for a, b in zip(edge, np.append(edge[1:], len(at)), strict=True):
             own = at[a:b]
@@ -196,10 +212,12 @@ def demux(stream: bytes) -> dict:
             if raw[7] & 0x80 and len(raw) >= 14:
                 x = raw[9:14]
                 t = (x[0] >> 1 & 7) << 30 | x[1] << 22 | x[2] >> 1 << 15 | x[3] << 7 | x[4] >> 1
+            if gap[a + 1 : b].any() or (b < len(at) and gap[b]):
+                damaged.append(len(units))
             random = bool(head[own[0]] > 5 and p[own[0], 5] & 0x40)
             data = raw[9 + raw[8] : 6 + size if size else None]
             units.append((es, data, t, random))
-    return {"programs": programs, "streams": streams, "units": units, "faults": faults, "packets": n}
+    return {"programs": programs, "streams": streams, "units": units, "damaged": damaged, "faults": faults, "packets": n}
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -220,12 +238,13 @@ def feature(parsed: dict) -> str:
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """Each text as a transport stream: digests of payload and stream, its features, and with keep the stream,
-    the timestamps and the random-access points. A narrow map; other columns are not read."""
+    """Each text as a transport stream: digests of payload and stream, its features, the timestamps of its units and
+    the numbers of those that are random-access points, and with keep the stream. A narrow map; other columns are not read."""
     kind = df.schema[id_col].dataType.simpleString()
-    more = ", media binary, pts array<long>, random_access array<int>" if keep else ""
+    more = ", pts array<long>, random_access array<int>" + ", media binary" * keep
 
     def run(frames):
+        frugal()
         for batch in frames:
             rows = []
             for text in batch.column("text"):
@@ -234,9 +253,9 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
                 parsed = demux(media)
                 back = b"".join(x[1] for x in parsed["units"])
                 row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed))
-                rows.append(row + ((media, [x[2] for x in parsed["units"]], [i for i, x in enumerate(parsed["units"]) if x[3]]) if keep else ()))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())][: 10 if keep else 7]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pts", "random_access"]
+                rows.append((*row, [x[2] for x in parsed["units"]], [i for i, x in enumerate(parsed["units"]) if x[3]], *([media] if keep else [])))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()][: 10 if keep else 9]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access", "media"]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["id", *names[: len(types)]])
 
