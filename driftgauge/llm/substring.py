@@ -2,10 +2,12 @@
 
 A window is SIZE consecutive words. The windows of all documents are dealt to reference blocks by
 content, and each block indexes the first occurrence of every window. A document is then parsed
-greedily: a factor is the longest run of starts whose windows continue one reference, so that it
-copies `windows + SIZE - 1` words from (ref_doc, ref_start); where a factor ends, the windows across
-the boundary are looked up as well, and begin factors of their own. Every factor is long enough to
-be a duplicate span, and the words that factors cover are removed.
+greedily, left to right: a factor begins at a window that the index has earlier, and is the longest
+run from there whose windows the index has one after the other, so that it copies `windows + SIZE - 1`
+words from (ref_doc, ref_start). Where a factor ends, the windows across the boundary are looked up
+as well, and begin factors of their own. Every factor is long enough to be a duplicate span, and the
+words that factors cover are removed. All references are the corpus's first occurrences, so factors
+depend on the rows alone, not on blocks or tasks.
 
 Windows that cannot repeat are not dealt. Each window is owned by the least hash of its GRAM-word
 sequences; a hash that occurs in one place of the whole corpus owns no repeated window. So pass one
@@ -13,7 +15,7 @@ counts owner hashes, pass two deals the windows of those seen twice, and pass th
 What repeats inside one task's documents is settled there: a block gets each window once a task, so
 a passage that a third of all rows hold is spread like any other.
 
-Order is (doc_id, start). Null and empty texts have no words. Rows of equal doc_id count as one
+Order is (doc_id, start); ids are integers. Null and empty texts have no words. Rows of equal doc_id count as one
 place for the order and get the factors of both; a null doc_id counts as the least.
 """
 
@@ -192,13 +194,42 @@ def runs(d, s, rd, rs) -> tuple[np.ndarray, ...]:
     return d[at], s[at], np.diff(np.append(at, len(d))).astype(np.int32), rd[at], rs[at]
 
 
+def parsed(d, s, n, rd, rs) -> tuple[np.ndarray, ...]:
+    """Greedy factors from what the blocks and a task's own documents report of some documents.
+
+    A window that is repeated within the task has its reference there; where that is a copy itself, what it
+    copies is the reference.
+    """
+    if not len(d):
+        return d, s, n, rd, rs
+    one = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    d, s, rd, rs = np.repeat(d, n), np.repeat(s, n) + one, np.repeat(rd, n), np.repeat(rs, n) + one
+    o = sorted_by(d, s, rd, rs)
+    d, s, rd, rs = d[o], s[o], rd[o], rs[o]
+    new = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
+    d, s, rd, rs = d[new], s[new], rd[new], rs[new]
+    ids, code = np.unique(d, return_inverse=True)
+    width = int(max(s.max(), rs.max())) + 1
+    place = code * width + s
+    who = np.minimum(np.searchsorted(ids, rd), len(ids) - 1)
+    for _ in range(2):  # a reference within the task is a first occurrence there, so one step is enough; the second finds none
+        of = who * width + rs
+        at = np.minimum(np.searchsorted(place, of), len(place) - 1)
+        copy = (ids[who] == rd) & (place[at] == of)
+        if not copy.any():
+            break
+        rd, rs = np.where(copy, rd[at], rd), np.where(copy, rs[at], rs)
+        who = np.minimum(np.searchsorted(ids, rd), len(ids) - 1)
+    return runs(d, s, rd, rs)
+
+
 def sorted_by(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
 def text_groups(t: pa.Table):
-    """(ids, bytes, offsets) of rows in order of id, so much text at a time."""
-    t = t.sort_by("id")
+    """(ids, bytes, offsets) of rows in order of id and text, so much text at a time."""
+    t = t.sort_by([("id", "ascending"), ("text", "ascending")])
     buf, off = string_bytes(t.column("text"))
     ids = t.column("id").to_numpy()
     for a, b in slices(np.diff(off)):
@@ -273,8 +304,7 @@ def _remove(size: int, keep_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         d, s, n = cat(right.column("d"), np.int64), cat(right.column("s"), np.int32), cat(right.column("n"), np.int32)
         rd, rs = cat(right.column("rd"), np.int64), cat(right.column("rs"), np.int32)
-        o = sorted_by(d, s)
-        d, s, n, rd, rs = d[o], s[o], n[o], rd[o], rs[o]
+        d, s, n, rd, rs = parsed(d, s.astype(np.int64), n, rd, rs.astype(np.int64))
         out = {k: [] for k in ("id", "n_words", "n_removed", "kept_sha256", "kept", "factors")}
         for ids, buf, off in text_groups(left) if left.num_rows else ():
             w = Words(buf, off, lower=False)
