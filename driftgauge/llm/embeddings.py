@@ -6,7 +6,7 @@ SHARED pivots, and are looked at in the list of the least one only. Candidates a
 cosine in double precision, so no link is false; what they share fixes the recall, which the tests
 hold against brute force.
 
-Pivots are a bounded sample (at most MAX_PIVOTS rows, those of least hash) without rows that are close
+Pivots are a bounded sample (one for PER_PIVOT rows, at most MAX_PIVOTS and PIVOT_BYTES, those of least hash) without rows that are close
 to an earlier one: a group of near copies of any size has one pivot or few, which all its members
 share, and not a share of the pivots by its size, of which two members would rarely have the same.
 Every vector is indexed.
@@ -24,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from driftgauge.llm.graph import components, forest
 from driftgauge.llm.substring import LEAST, id_column
-from driftgauge.llm.text import documents
+from driftgauge.llm.text import checkpoint, documents, frugal, lean
 
-NEAREST, SHARED, MAX_PIVOTS, PER_PIVOT, CHUNK, COSINE = 8, 2, 4096, 64, 2048, 0.9
+NEAREST, SHARED, MAX_PIVOTS, PER_PIVOT, CHUNK, COSINE = 8, 2, 16384, 64, 2048, 0.9
+#: Bytes of the broadcast pivots at most.
+PIVOT_BYTES = 16 << 20
 #: Rows looked at for each pivot, so that enough are left when close ones are gone.
 DRAWN = 4
 
@@ -118,12 +121,14 @@ def links(ida, a, pa_, idb, b, pb, pivot: int, n_pivots: int, least: float, shar
 def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE, k: int = NEAREST, shared: int = SHARED, chunk: int = CHUNK) -> DataFrame:
     """id, n_links, component_id, kept of each row."""
     spark = df.sparkSession
+    single = df.schema[vector_col].dataType.elementType == FloatType()  # then vectors travel as they are, without loss
     rows = df.select(id_column(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)
     good = rows.where(F.coalesce(fine, F.lit(False)))
     total = good.count()
-    n = int(min(MAX_PIVOTS, max(4 * k, total // PER_PIVOT)))
+    dim = good.limit(1000).agg(F.max(F.size("v"))).first()[0] or 1
+    n = int(min(MAX_PIVOTS, max(4 * k, PIVOT_BYTES // (8 * dim)), max(4 * k, total // PER_PIVOT)))
     p = pivots(good, n, least)
     null = lambda c: F.when(F.col(c) != LEAST, F.col(c))
     if not len(p):
@@ -132,6 +137,7 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     n = len(p)
 
     def index(frames):
+        frugal()
         for batch in frames:
             v = batch.column("v")
             sizes = np.diff(v.offsets.to_numpy())
@@ -145,7 +151,7 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                     y = x[j : j + 1024]
                     scale = np.abs(y).max(1, keepdims=True)
                     near = nearest(unit(y / scale), sent.value, k).astype("<i4")
-                    raw = (y / scale).astype("<f8")
+                    raw = y.astype("<f4") if single else (y / scale).astype("<f8")
                     yield pa.RecordBatch.from_pydict({"id": ids[pick[j : j + 1024]], "near": near.tolist(), "dim": np.full(len(y), dim, np.int32), "x": [r.tobytes() for r in raw]}, schema=pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int32())), ("dim", pa.int32()), ("x", pa.binary())]))
 
     described = good.mapInArrow(index, "id long, near array<int>, dim int, x binary")
@@ -160,7 +166,7 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     def search(t: pa.Table) -> pa.Table:
         pivot, i, j = (t.column(c)[0].as_py() for c in ("pivot", "i", "j"))
         ids, mine = t.column("id").to_numpy(), t.column("own").to_numpy()
-        x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), "<f8").reshape(len(ids), -1))
+        x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), "<f4" if single else "<f8").astype(np.float64).reshape(len(ids), -1))
         near = np.array(t.column("near").to_pylist(), np.int64)
         a, b = (np.flatnonzero(mine == c) for c in (i, j))
         u, v = links(ids[a], x[a], near[a], ids[b], x[b], near[b], pivot, n, least, shared)
@@ -174,9 +180,7 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         f, g = forest(ids[u], ids[v]) if len(u) else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": np.concatenate((ids[some], f)), "b": np.concatenate((count[some], g)), "kind": np.concatenate((np.zeros(len(some), np.int32), np.ones(len(f), np.int32)))})
 
-    from driftgauge.llm.text import checkpoint
-
-    found = checkpoint(lists.select("pivot", "dim", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "id", "own", "near", "x").groupBy("pivot", "dim", "i", "j").applyInArrow(search, "a long, b long, kind int"))
+    found = checkpoint(lists.select("pivot", "dim", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "id", "own", "near", "x").groupBy("pivot", "dim", "i", "j").applyInArrow(lean(search), "a long, b long, kind int"))
     degree = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n_links"))
     reach = components(found.where("kind = 1"))
     out = rows.select("id").join(degree, "id", "left").join(reach, F.col("id") == F.col("node"), "left")
