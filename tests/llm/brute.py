@@ -26,6 +26,25 @@ def substring(docs, size=20):
     return out
 
 
+def factors(docs, size=20):
+    """{doc_id: [(start, words, ref_doc, ref_start)]}: greedy runs of windows whose first occurrences follow one another."""
+    first, out = {}, {}
+    for i, text in sorted(docs, key=lambda x: x[0]):
+        w, out[i], last = WORD.findall(text or ""), [], None
+        for a in range(len(w) - size + 1):
+            d, s = first.setdefault(tuple(w[a : a + size]), (i, a))
+            if (d, s) == (i, a):
+                last = None
+            elif last == (d, s - 1):
+                x = out[i][-1]
+                out[i][-1] = (x[0], x[1] + 1, x[2], x[3])
+                last = (d, s)
+            else:
+                out[i].append((a, size, d, s))
+                last = (d, s)
+    return out
+
+
 def shingles(text, k=5):
     w = WORD.findall(lower(text))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
