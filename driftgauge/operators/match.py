@@ -25,6 +25,8 @@ unary array<struct<{COMMON},pattern:string>>,
 patches array<struct<{R},active:array<int>>>,
 directives array<struct<seq:int,ids:array<string>,reason:string,line:int,col:int,statement:struct<{R}>>>,
 diagnostics array<struct<code:string,message:string,{R}>>"""
+#: Files whose facts a worker holds at once.
+STEP = 100
 BASE = ["path", "rule_id", "kind", "subject", "sl", "sc", "el", "ec", "scope", "seq", "reach", "ctx", "confidence", "evidence"]
 
 
@@ -41,9 +43,10 @@ def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = f
         from driftgauge.pyparse.extract import extract
 
         for batch in frames:
-            rows = [extract(p, s or "", window, blocked, tool) for p, s in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist(), strict=True)]
-            for at in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 500], schema=arrow)
+            for at in range(0, batch.num_rows, STEP):  # the facts of a few files at a time
+                some = batch.slice(at, STEP)
+                rows = [extract(p.as_py(), s.as_py() or "", window, blocked, tool) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path", "source").mapInArrow(run, schema)
 

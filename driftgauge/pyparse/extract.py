@@ -369,11 +369,15 @@ def directives(comments, regions: list[dict], tool: str = TOOL) -> tuple[list[di
     return out, faults
 
 
-def extract(path: str, source: str, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = TOOL) -> dict:
-    """All facts of one file; what cannot be parsed is a diagnostic, never an exception."""
+def extract(path: str | None, source: str, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = TOOL) -> dict:
+    """All facts of one file; what cannot be parsed, or has no path, is a diagnostic, never an exception."""
     out = {"path": path, "status": "parsed", "imports": [], "refs": [], "calls": [], "unary": [], "patches": [], "directives": [], "diagnostics": []}
     at = {"sl": 1, "sc": 1, "el": 1, "ec": 1}
     comments, regions = [], []
+    if path is None:
+        out["status"] = "incomplete"
+        out["diagnostics"].append({"code": "PYA1001", "message": "a source file has no path", **at})
+        return out
     try:
         comments = check_nesting(source)
         tree = ast.parse(source)

@@ -121,6 +121,27 @@ def scan_order(spark, sf_dir):
     return f.select("action_version", "impact", "rule_id", "path", "line", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query(found_sql("documents", "doc_id", "SELECT path, rule_id, line, ordinal FROM found WHERE t <> 0 OR true ORDER BY action_version, impact, rule_id, string_split(path, '/'), line, ordinal LIMIT 200").replace("WHERE t <> 0 OR true ", ""))
+def scan_first(spark, sf_dir):
+    """A report's first 200 findings: by version, impact as text, rule, path part by part, and place."""
+    found = G.ordered(scanned(spark, table(spark, sf_dir, "documents"), "doc_id").findings).limit(200)
+    return flat(found).select("path", "rule_id", "line", "ordinal")
+
+
+@query(found_sql("documents", "doc_id", "SELECT rule_id, count(*) AS n FROM found WHERE rule_id <> 'CPY0001' GROUP BY ALL"))
+def scan_withheld(spark, sf_dir):
+    """Without the findings of a library module that a local one competes with."""
+    f = scanned(spark, table(spark, sf_dir, "documents"), "doc_id", modules={"cgi": ["lib/cgi.py"]}).findings
+    return f.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(found_sql("documents", "doc_id", "SELECT path, rule_id, line FROM found WHERE confidence = 'high'"))
+def scan_high_confidence(spark, sf_dir):
+    """Findings of high confidence alone; ordinals and fingerprints are as if all were shown."""
+    s = scan_frame(spark, corpus(table(spark, sf_dir, "documents"), "doc_id"), R.load(), C.Config(baseline=11, horizon=13, minimum_confidence="high"))
+    return flat(s.findings).select("path", "rule_id", "line")
+
+
 # --- single operators on the tables' columns ---------------------------------------------------
 
 
@@ -145,20 +166,28 @@ def state_ranges(spark, sf_dir):
     return e.select("user_id", F.explode(E.ranges("points")).alias("r")).select("user_id", F.col("r.from").alias("from_day"), F.col("r.through").alias("through_day"), "r.state")
 
 
-@query("""SELECT l_orderkey, l_suppkey, arg_max(l_returnflag, (CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_quantity, l_extendedprice)) AS l_returnflag,
-arg_max(l_quantity, (CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_quantity, l_extendedprice)) AS l_quantity, count(*) AS merged FROM lineitem GROUP BY ALL""")
+_LINES = """SELECT l_orderkey::VARCHAR AS path, (l_suppkey % 3)::VARCHAR AS rule_id, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS confidence,
+CASE l_linestatus WHEN 'O' THEN 'module-import' ELSE 'call-shape' END AS kind, 11 + l_linenumber % 3 AS v, l_partkey::VARCHAR AS scope, l_quantity::INT::VARCHAR AS quantity FROM lineitem"""
+
+
+@query(f"""WITH l AS ({_LINES}), s AS (SELECT *, (CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE kind WHEN 'call-shape' THEN 0 ELSE 3 END, kind, l_linenumber, confidence, scope, quantity) AS place FROM l)
+SELECT path, rule_id, arg_min(kind, place) AS kind, arg_min(confidence, place) AS confidence, arg_min(scope, place) AS scope, array_to_string(list_sort(list(DISTINCT v)), ',') AS reach, arg_min(l_linenumber, (kind, l_linenumber)) AS first_seq, arg_min(quantity, place) AS quantity FROM s GROUP BY path, rule_id""")
 def dedupe_strongest(spark, sf_dir):
-    """Of each group the strongest row: rank, then quantity."""
-    strength = F.struct(F.expr("case l_returnflag when 'R' then 2 when 'A' then 1 else 0 end").alias("a"), "l_quantity", "l_extendedprice", "l_returnflag")
-    best = F.max(strength).alias("best")
-    out = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(best, F.count("*").alias("merged"))
-    return out.select("l_orderkey", "l_suppkey", "best.l_returnflag", "best.l_quantity", "merged")
+    """Lines of an order and rule as matches of one place: the strongest stays, with reach and evidence merged."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as path", "cast(l_suppkey % 3 as string) as rule_id", "cast(l_linenumber as int) as seq",
+        "case l_returnflag when 'R' then 'high' when 'A' then 'medium' else 'low' end as confidence", "case l_linestatus when 'O' then 'module-import' else 'call-shape' end as kind",
+        "array(11 + cast(l_linenumber as int) % 3) as reach", "cast(l_partkey as string) as scope", "array('runtime') as ctx", "map('quantity', array(cast(cast(l_quantity as int) as string))) as evidence", "'x' as subject", "1 as sl", "1 as sc", "1 as el", "2 as ec")
+    out = G.strongest(lines)
+    return out.select("path", "rule_id", "kind", "confidence", "scope", F.array_join(F.col("reach").cast("array<string>"), ",").alias("reach"), F.col("first.seq").cast("long").alias("first_seq"), F.col("evidence")["quantity"][0].alias("quantity"))
 
 
-@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS ordinal FROM events")
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts)::BIGINT, event_id) - 1 AS ordinal FROM events)
+SELECT event_id, user_id, event_type, ordinal, sha256(concat_ws(chr(0), '{E.NAMESPACE}', event_type, user_id::VARCHAR, 'scope', 'subject', ordinal::VARCHAR)) AS fingerprint FROM o""")
 def occurrence_ordinal(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+    """Events as matches of a user's file: the ordinal among those of a rule, and the fingerprint with it."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("rule_id"), F.lit("scope").alias("scope"), F.lit("subject").alias("subject"), F.unix_timestamp("ts").alias("sl"), F.col("event_id").alias("sc"), F.lit(0).alias("first"), F.lit(0).alias("el"), F.lit(0).alias("ec"))
+    return G.with_ordinal(e).select("event_id", "user_id", "event_type", F.col("ordinal").cast("long").alias("ordinal"), "fingerprint")
 
 
 @query(f"SELECT event_id, sha256(concat_ws(chr(0), '{E.NAMESPACE}', user_id::VARCHAR, event_type, event_id::VARCHAR)) AS fingerprint FROM events")
@@ -175,9 +204,10 @@ def prefix_match(spark, sf_dir):
     return h.withColumn("name", F.explode(E.prefixes("host"))).join(F.broadcast(n), "name").select("page_id", "host", "name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def competing_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -190,10 +220,12 @@ _WINDOWS = [(w, u, 1 + (w * 3) % 20, 4 + (w * 3) % 20) for w, u in enumerate([1,
 
 @query("WITH w(win, u, a, b) AS (VALUES " + ", ".join(map(str, _WINDOWS)) + ") SELECT event_id, arg_max(win, (a, win)) AS win FROM events JOIN w ON user_id = u AND dayofmonth(ts) BETWEEN a AND b GROUP BY event_id")
 def interval_suppress(spark, sf_dir):
-    """Interval containment on an equal key; the rightmost start wins."""
+    """Events as findings, windows as the statements that directives stand for: the rightmost around a finding suppresses it."""
     w = spark.createDataFrame(_WINDOWS, "win int, u long, a int, b int")
-    j = table(spark, sf_dir, "events").join(F.broadcast(w), (F.col("user_id") == F.col("u")) & F.dayofmonth("ts").between(F.col("a"), F.col("b")))
-    return j.groupBy("event_id").agg(F.max_by("win", F.struct("a", "win")).alias("win"))
+    w = w.select(F.col("u").cast("string").alias("path"), F.lit("r").alias("rule_id"), F.expr("struct(a as sl, win as sc, b as el, 99 as ec)").alias("statement"), F.col("win").cast("string").alias("reason"))
+    found = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("path"), F.lit("r").alias("rule_id"), F.dayofmonth("ts").alias("sl"), F.lit(50).alias("sc"), F.dayofmonth("ts").alias("el"), F.lit(60).alias("ec"))
+    out = G.suppress(found, w, spark.createDataFrame([], "rule_id string, place int, regex string, pattern string"))
+    return out.where("suppression.kind = 'inline'").select("event_id", F.col("suppression.reason").cast("int").alias("win"))
 
 
 _BANDS = [(0, 5000), (900, 1100), (1000, 1500), (950, 1000), (1200, 1300), (0, 1000), (1400, 2200)]
@@ -207,12 +239,16 @@ def narrowest_interval(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", best.alias("b")).where("b is not null").select("p_partkey", "b.lo", "b.hi")
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '1$') THEN '*1' WHEN regexp_matches(p_brand, '^Brand#2') THEN 'Brand#2*' WHEN regexp_matches(p_type, 'A') THEN '*A*' END AS pattern FROM part")
+_IGNORES = [("r0", 0, "1$", "*1"), ("r0", 1, "^Brand#2", "Brand#2*"), ("r0", 2, "[135]", "*odd*"), ("r1", 0, "^Brand#1", "Brand#1*")]
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN regexp_matches(p_brand, '1$') THEN '*1' WHEN regexp_matches(p_brand, '^Brand#2') THEN 'Brand#2*' WHEN regexp_matches(p_brand, '[135]') THEN '*odd*' END
+WHEN p_partkey % 3 = 1 AND regexp_matches(p_brand, '^Brand#1') THEN 'Brand#1*' END AS pattern FROM part""")
 def pattern_ignore_first(spark, sf_dir):
-    """The first of ordered patterns that matches."""
-    p = table(spark, sf_dir, "part")
-    rules = [("p_brand", "1$", "*1"), ("p_brand", "^Brand#2", "Brand#2*"), ("p_type", "A", "*A*")]
-    return p.select("p_partkey", F.coalesce(*[F.when(F.col(c).rlike(r), name) for c, r, name in rules]).alias("pattern"))
+    """Parts as findings of three rules: of a rule's per-file patterns the first that matches suppresses."""
+    found = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("path"), F.concat(F.lit("r"), (F.col("p_partkey") % 3).cast("string")).alias("rule_id"), F.lit(1).alias("sl"), F.lit(1).alias("sc"), F.lit(1).alias("el"), F.lit(2).alias("ec"))
+    none = spark.createDataFrame([], "path string, rule_id string, statement struct<sl:int,sc:int,el:int,ec:int>, reason string")
+    return G.suppress(found, none, spark.createDataFrame(_IGNORES, "rule_id string, place int, regex string, pattern string")).select("p_partkey", F.col("suppression.pattern").alias("pattern"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'existing' ELSE 'new' END AS baseline_status FROM orders")
@@ -224,11 +260,30 @@ def baseline_status(spark, sf_dir):
 _IMPACT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'breaking' WHEN '2-HIGH' THEN 'risk' WHEN '3-MEDIUM' THEN 'deprecated' ELSE 'informational' END"
 
 
-@query(f"WITH f AS (SELECT o_custkey, {_IMPACT} AS impact, o_orderstatus = 'F' AS off, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'existing' END AS b FROM orders) SELECT o_custkey, coalesce(bool_or(NOT off AND b = 'new' AND impact IN ('breaking', 'risk')), false) AS gate_failed FROM f GROUP BY o_custkey")
+#: what fails, only new, slice of the orders, incomplete, allowed
+_GATES = [("never", False, 5, False, False), ("any", True, 5, False, False), ("breaking", False, 3, False, False), ("risk", True, 3, True, False), ("deprecated", False, 4, True, True), ("breaking", True, 4, True, True), ("risk", False, 2, False, True), ("any", False, 9, False, False)]
+_LEAST = {"never": 99, "any": 0, "deprecated": 1, "risk": 2, "breaking": 3}
+
+
+def _gate_sql() -> str:
+    rank = "CASE impact WHEN 'breaking' THEN 3 WHEN 'risk' THEN 2 WHEN 'deprecated' THEN 1 ELSE 0 END"
+    parts = []
+    for k, (fail, new, part, incomplete, allowed) in enumerate(_GATES):
+        hit = f"coalesce(bool_or(NOT off AND {rank} >= {_LEAST[fail]}" + (" AND b = 'new'" if new else "") + "), false)"
+        code = "3" if incomplete and not allowed else f"CASE WHEN {hit} THEN 1 ELSE 0 END"
+        parts.append(f"SELECT {k} AS gate, count(*) FILTER (WHERE NOT off AND impact = 'breaking') AS breaking, count(*) FILTER (WHERE off) AS suppressed, count(*) FILTER (WHERE NOT off AND b = 'new') AS new, {hit} AS gate_failed, {code} AS exit_code FROM f WHERE p = {part}")
+    return f"WITH f AS (SELECT {_IMPACT} AS impact, o_orderstatus = 'F' AS off, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'existing' END AS b, substr(o_orderpriority, 1, 1)::INT AS p FROM orders) " + " UNION ALL ".join(parts)
+
+
+@query(_gate_sql())
 def gate_eval(spark, sf_dir):
-    """Whether a gate at risk fails on new, unsuppressed findings."""
-    f = table(spark, sf_dir, "orders").select("o_custkey", F.expr(_IMPACT).alias("impact"), (F.col("o_orderstatus") == "F").alias("off"), F.expr("o_orderkey % 2 = 0").alias("new"))
-    return f.groupBy("o_custkey").agg(F.bool_or(F.expr(f"not off and new and {E.rank('impact')} >= 2")).alias("gate_failed"))
+    """Gates of every kind, on the orders of one priority each: counts, whether it fails, and the exit code."""
+    f = table(spark, sf_dir, "orders").select(F.expr(_IMPACT).alias("impact"), F.when(F.col("o_orderstatus") == "F", "x").alias("suppression"), F.expr("if(o_orderkey % 2 = 0, 'new', 'existing')").alias("baseline_status"), F.expr("cast(substr(o_orderpriority, 1, 1) as int)").alias("p"))
+    out = None
+    for k, (fail, new, part, incomplete, allowed) in enumerate(_GATES):
+        one = G.summary(f.where(F.col("p") == part), fail, new, incomplete, allowed).select(F.lit(k).alias("gate"), "breaking", "suppressed", "new", "gate_failed", "exit_code")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH f AS (SELECT {_IMPACT} AS impact, o_orderstatus = 'F' AS off FROM orders) SELECT count(*) FILTER (WHERE NOT off AND impact = 'breaking') AS breaking, count(*) FILTER (WHERE NOT off AND impact = 'risk') AS risk, count(*) FILTER (WHERE NOT off AND impact = 'deprecated') AS deprecated, count(*) FILTER (WHERE NOT off AND impact = 'informational') AS informational, count(*) FILTER (WHERE off) AS suppressed, count(*) FILTER (WHERE NOT off) AS new, true AS gate_failed, 1 AS exit_code FROM f")

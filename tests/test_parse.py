@@ -126,3 +126,8 @@ def test_directives():
 def test_what_cannot_be_parsed_is_told(source):
     r = parse(source)
     assert r["status"] == "incomplete" and r["diagnostics"][0]["code"] == "PYA1003"
+
+
+def test_a_file_without_a_path_is_a_diagnostic():
+    got = extract(None, "import cgi\n", (11, 12, 13))
+    assert got["status"] == "incomplete" and got["imports"] == [] and [d["code"] for d in got["diagnostics"]] == ["PYA1001"]
