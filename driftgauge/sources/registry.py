@@ -1,7 +1,9 @@
 """The registry: what changes in which Python version, and what source constructs show it.
 
-FACTS is this package's own table, one line for each rule. A registry directory in the YAML form
-(an index, a releases file, one file for each rule) can be loaded in its place.
+FACTS has one line for each rule: ids, subjects and events are those of the compatible registry, as
+they must be for equal findings. A registry directory in the YAML form (an index, a releases file, one
+file for each rule, coverage manifests) can be loaded in its place; its documents must have the closed
+form of schema.py.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftgauge.sources import schema
+
 # Rule, kind of subject, subject, events (dep deprecated, rem removed, sig signature
 # changed, beh behaviour changed, sup support dropped; ? scheduled, not released), typing if the
 # rule holds in typing contexts too. Facts of the Python documentation.
@@ -678,6 +682,24 @@ def _matcher(m: dict) -> Matcher:
     return Matcher(m["kind"], m.get("module") or m.get("qualified_name") or m.get("pattern"), tuple(m.get("contexts", ())), m.get("confidence", "high"), m.get("min_positional_args"), m.get("max_positional_args"), m.get("min_keyword_args"), m.get("max_keyword_args"), tuple(m.get("required_keywords", ())), tuple(m.get("forbidden_keywords", ())), lit)
 
 
+def inside(root: str, *names: str) -> None:
+    """Whether all names are files below the registry's folder, by their own path and where links lead."""
+    real = os.path.realpath(root)
+    for name in names:
+        full = os.path.normpath(os.path.join(root, name))
+        if not full.startswith(root + os.sep) or os.path.realpath(full) != os.path.join(real, os.path.relpath(full, root)):
+            raise RegistryError(f"{name}: outside the registry")
+
+
+def checked(path: str, name: str) -> dict:
+    """A document, or its first problems as an error."""
+    doc = _yaml(path)
+    found = schema.problems(doc, schema.DOCUMENTS[name]) or (schema.rule_problems(doc) if name == "rule" else [])
+    if found:
+        raise RegistryError(f"{path}: {'; '.join(found[:5])}")
+    return doc
+
+
 def load(path: str | None = None) -> Registry:
     """The bundled registry, or the one of a directory or index file."""
     if path is None:
@@ -685,20 +707,19 @@ def load(path: str | None = None) -> Registry:
     index_path = os.path.join(path, "index.yaml") if os.path.isdir(path) else path
     root = os.path.dirname(os.path.abspath(index_path))
     try:
-        index = _yaml(index_path)
-        if index.get("schema_version") != 1:
-            raise RegistryError("unknown schema version")
-        releases = tuple((minor(r["python"]), r["status"], r.get("released_on") or r.get("expected_final_on")) for r in _yaml(os.path.join(root, index["releases"]))["releases"])
+        index = checked(index_path, "index")
+        inside(root, *index["rules"], *index.get("coverage", ()), index["releases"])
+        releases = tuple((minor(r["python"]), r["status"], r.get("released_on") or r.get("expected_final_on")) for r in checked(os.path.join(root, index["releases"]), "releases")["releases"])
         rules = []
         for name in index["rules"]:
-            full = os.path.normpath(os.path.join(root, name))
-            if not full.startswith(root + os.sep):
-                raise RegistryError(f"{name}: outside the registry")
-            d = _yaml(full)
+            d = checked(os.path.join(root, name), "rule")
             impact = d["impact"]
             events = tuple((e["event"], minor(e["python"]), e["certainty"], e["source"], impact[ON[e["event"]]]) for e in d["timeline"])
             rules.append(Rule(d["id"], d["title"].strip(), d["subject"]["kind"], d["subject"]["name"], tuple(d["scope"]["contexts"]), events, tuple(map(_matcher, d["matchers"])), " ".join(d["remediation"]["summary"].split()), tuple((s["id"], s["title"], s["url"]) for s in d["sources"]), tuple(d.get("tags", ())), tuple(d.get("aliases", ()))))
-        coverage = {c: _yaml(os.path.join(root, c)) for c in index.get("coverage", ())}
+        coverage = {c: checked(os.path.join(root, c), "coverage") for c in index.get("coverage", ())}
+        found = schema.coverage_problems(coverage, {r.id for r in rules})
+        if found or {r.id for r in rules} & set(index.get("retired_ids", ())):
+            raise RegistryError("; ".join(found[:5]) or "a retired rule id is used")
     except (OSError, KeyError, TypeError) as e:
         raise RegistryError(f"{index_path}: {e!r}") from e
     return _seal(Registry(tuple(rules), releases, str(index["release"]), coverage=coverage))

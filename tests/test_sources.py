@@ -12,6 +12,7 @@ from driftgauge.sources import registry as R
 RULE = """schema_version: 1
 id: CPY9001
 title: "t"
+summary: "s"
 scope: {ecosystem: python, runtime: cpython, contexts: [runtime]}
 subject: {kind: module, name: old}
 timeline:
@@ -23,6 +24,7 @@ matchers:
   - {kind: call-shape, qualified_name: a.b, min_positional_args: 1, literal_arguments: [{position: 0, equals: null}]}
 remediation: {summary: "go"}
 sources: [{id: s, title: S, url: "https://example.org"}]
+tags: [stdlib]
 aliases: [OLD]
 """
 
@@ -36,7 +38,7 @@ def write(root, **files):
 
 def registry_at(root, rule=RULE):
     (root / "index.yaml").write_text('schema_version: 1\nrelease: "1"\nreleases: r.yaml\nrules: [a.yaml]\n')
-    (root / "r.yaml").write_text('releases:\n  - {python: "3.11", status: stable}\n  - {python: "3.13", status: planned}\n')
+    (root / "r.yaml").write_text('schema_version: 1\nreleases:\n  - {python: "3.11", status: stable}\n  - {python: "3.13", status: planned}\n')
     (root / "a.yaml").write_text(rule)
     return str(root)
 
@@ -59,12 +61,83 @@ def test_registry_directory(tmp_path):
     assert r.find("OLD").id == "CPY9001" and r.rules[0].matchers[1].literals == ((0, None, "null", "None"),) and r.horizon == 11
 
 
-@pytest.mark.parametrize("bad", [RULE.replace('"3.13"', '"3.11"'), RULE + "id: X\n", RULE.replace("source: s}", "source: zz}"), RULE.replace('{summary: "go"}', '{summary: *x}'), RULE.replace('"3.11"', '"3.011"')])
+CLOSED = [
+    RULE + "more: 1\n",
+    RULE.replace("kind: module-import", "kind: module-export"),
+    RULE.replace("module: old}\n  - {kind: call", "module: old, pattern: x}\n  - {kind: call"),
+    RULE.replace("min_positional_args: 1", "min_positional_args: -1"),
+    RULE.replace("min_positional_args: 1", "min_positional_args: 2, max_positional_args: 1"),
+    RULE.replace("{position: 0, equals: null}", "{position: 0, keyword: k, equals: null}"),
+    RULE.replace("on_removal: breaking", "on_removal: fatal"),
+    RULE.replace(", on_removal: breaking", ""),
+    RULE.replace("certainty: released", "certainty: sure"),
+    RULE.replace("https://example.org", "http://example.org"),
+    RULE.replace("contexts: [runtime]", "contexts: []"),
+    RULE.replace("id: CPY9001", "id: cpy1"),
+    RULE.replace('title: "t"\n', ""),
+]
+
+
+@pytest.mark.parametrize("bad", [*CLOSED, RULE.replace('"3.13"', '"3.11"'), RULE + "id: X\n", RULE.replace("source: s}", "source: zz}"), RULE.replace('{summary: "go"}', '{summary: *x}'), RULE.replace('"3.11"', '"3.011"')])
 def test_bad_registry(tmp_path, bad):
     with pytest.raises(R.RegistryError):
         R.load(registry_at(tmp_path, bad))
 
 
+COVERAGE = """schema_version: 1
+source: {id: s, title: S, url: "https://example.org", checked_on: "2026-01-01"}
+source_keys: [one, two]
+entries:
+  - {source_key: one, disposition: implemented, rules: [CPY9001]}
+  - {source_key: two, disposition: not-applicable, note: "no"}
+"""
+
+
+@pytest.mark.parametrize("text,says", [
+    (COVERAGE, None),
+    (COVERAGE.replace("[one, two]", "[one, two, three]"), "three is not classified"),
+    (COVERAGE.replace("[one, two]", "[one]"), "two is not among"),
+    (COVERAGE.replace("CPY9001", "CPY9009"), "unknown rule CPY9009"),
+    (COVERAGE.replace("implemented, rules: [CPY9001]", "duplicate"), "no source covers"),
+    (COVERAGE.replace("not-applicable", "unknown"), "must be one of"),
+])
+def test_coverage(tmp_path, text, says):
+    from driftgauge.cli import coverage
+
+    registry_at(tmp_path)
+    (tmp_path / "index.yaml").write_text('schema_version: 1\nrelease: "1"\nreleases: r.yaml\nrules: [a.yaml]\ncoverage: [c.yaml]\n')
+    (tmp_path / "c.yaml").write_text(text)
+    if says:
+        with pytest.raises(R.RegistryError, match=says):
+            R.load(str(tmp_path))
+    else:
+        shown = coverage(R.load(str(tmp_path)))
+        assert "implemented: 1" in shown and "partial: 0" in shown and "covered rules: 1" in shown
+
+
+def test_registry_stays_in_its_folder(tmp_path):
+    (tmp_path / "in").mkdir()
+    registry_at(tmp_path / "in")
+    (tmp_path / "a.yaml").write_text(RULE)
+    for name in ("../a.yaml", "link/a.yaml"):
+        (tmp_path / "in" / "index.yaml").write_text(f'schema_version: 1\nrelease: "1"\nreleases: r.yaml\nrules: [{name}]\n')
+        if not (tmp_path / "in" / "link").exists():
+            (tmp_path / "in" / "link").symlink_to(tmp_path)
+        with pytest.raises(R.RegistryError, match="outside"):
+            R.load(str(tmp_path / "in"))
+
+
+def test_schema_and_details_on_the_command_line(capsys):
+    from driftgauge.cli import main
+
+    for name in ("rule", "index", "releases", "coverage"):
+        assert main(["registry", "schema", "--document", name]) == 0
+        shown = json.loads(capsys.readouterr().out)
+        assert shown["title"] == name and shown["additionalProperties"] is False
+    assert main(["explain", "CPY0094"]) == 0
+    assert "with onerror" in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("pattern,path,hit", [
     ("*.py", "a/b.py", True), ("/a.py", "a.py", True), ("/a.py", "x/a.py", False), ("build/", "x/build/", True), ("build/", "build", False), ("a/**/b.py", "a/x/y/b.py", True), ("a/**/b.py", "a/b.py", True),
     ("**/t", "x/t", True), ("a?.py", "ab.py", True), ("[ab].py", "a.py", True), ("[!ab].py", "a.py", False), ("src", "src/", True), ("a/*", "a/b/c", True), ("a/**", "a/b/c", True),
