@@ -7,7 +7,7 @@ import io
 import re
 import tokenize
 
-from driftgauge.pyparse.scopes import BUILTIN, IMPORT, Scopes, resolve
+from driftgauge.pyparse.scopes import BUILTIN, IMPORT, LEAVES, Scopes, Walk, chain, children, resolve
 
 MAX_DEPTH, MAX_OPERATORS, MAX_TREE = 200, 256, 256
 TOOL = "driftgauge"
@@ -20,8 +20,13 @@ class TooDeep(ValueError):
     pass
 
 
-def check_nesting(source: str) -> list[tokenize.TokenInfo]:
-    """Comment tokens; raises TooDeep before a parser would be asked for too much."""
+def check_nesting(source: str, tool: str = TOOL) -> list[tokenize.TokenInfo]:
+    """Comment tokens where some may be directives; raises TooDeep before a parser would be asked for too much.
+
+    A source without a directive's prefix, and with fewer brackets and operators than the limits, is not tokenized.
+    """
+    if f"{tool}:" not in source and sum(map(source.count, "([{")) <= MAX_DEPTH and sum(map(source.count, ("+", "-", "~", "*", "not", "await", "lambda"))) <= MAX_OPERATORS:
+        return []
     comments, depth, run = [], 0, 0
     try:
         for t in tokenize.generate_tokens(io.StringIO(source).readline):
@@ -47,12 +52,12 @@ def check_nesting(source: str) -> list[tokenize.TokenInfo]:
 
 
 def tree_depth(tree: ast.AST) -> int:
-    most, stack = 0, [(tree, 1)]
-    while stack:
-        node, d = stack.pop()
-        most = max(most, d)
-        stack += [(n, d + 1) for n in ast.iter_child_nodes(node)]
-    return most
+    """Levels of a tree, taken level by level; contexts and operators have no fields and count by their parents."""
+    depth, level = 0, [tree]
+    while level:
+        depth, last = depth + 1, level
+        level = [n for node in last for n in children(node)]
+    return depth + any(LEAVES & set(n._fields) for n in last)
 
 
 def literal(node: ast.AST) -> tuple[bool, str, str]:
@@ -161,10 +166,12 @@ class Guards:
         return (tuple(yes), contexts & {a}), (tuple(no), contexts & {b}), patch
 
 
-class Extractor(ast.NodeVisitor):
-    def __init__(self, source: str, tree: ast.Module, window: tuple[int, ...], contexts: frozenset[str], blocked: frozenset[str]):
+class Extractor(Walk):
+    """Facts of a tree. Places are taken only for what is kept, regions of statements only where directives need them."""
+
+    def __init__(self, source: str, tree: ast.Module, window: tuple[int, ...], contexts: frozenset[str], blocked: frozenset[str], places: bool = True):
         self.lines = [x.encode("utf-8") for x in re.split(r"\r\n|\r|\n", source)]
-        self.scopes = Scopes(tree)
+        self.scopes, self.places = Scopes(tree, "global" in source or "nonlocal" in source), places
         self.guards = Guards(self.scopes, blocked)
         self.reach, self.ref_ctx, self.seq = (window, contexts), "read", 0
         self.imports, self.refs, self.calls, self.unary, self.patches, self.regions = [], [], [], [], [], []
@@ -204,22 +211,25 @@ class Extractor(ast.NodeVisitor):
     def visit(self, node: ast.AST):
         if isinstance(node, ast.stmt):
             was, self.ref_ctx = self.ref_ctx, "read"
-            bodies = [b for b in (getattr(node, f, None) for f in ("body", "orelse", "finalbody")) if isinstance(b, list) and b]
-            if isinstance(node, ast.Match) or bodies:
-                if bodies:
-                    self.header(node, bodies[0])
-                for d in getattr(node, "decorator_list", []):
-                    r = self.region(d)
-                    self.regions.append(r)
-            else:
-                self.statement(node)
+            if self.places:
+                self.place(node)
             super().visit(node)
             self.ref_ctx = was
             return
-        if isinstance(node, (ast.ExceptHandler, ast.match_case)) and node.body and hasattr(node, "lineno"):
+        if self.places and isinstance(node, (ast.ExceptHandler, ast.match_case)) and node.body and hasattr(node, "lineno"):
             self.header(node, node.body)
         super().visit(node)
 
+    def place(self, node: ast.stmt) -> None:
+        """The regions that a directive within a statement may stand for."""
+        bodies = [b for b in (getattr(node, f, None) for f in ("body", "orelse", "finalbody")) if isinstance(b, list) and b]
+        if isinstance(node, ast.Match) or bodies:
+            if bodies:
+                self.header(node, bodies[0])
+            self.regions += [self.region(d) for d in getattr(node, "decorator_list", [])]
+        else:
+            self.statement(node)
+
     def within(self, ctx: str, *nodes) -> None:
         was = self.ref_ctx
         for n in nodes:
@@ -284,11 +294,17 @@ class Extractor(ast.NodeVisitor):
             return
         self.imports.append({**self.common(node), "module": node.module, "syntax": "from-import", "bound_names": ["*"] if node.names[0].name == "*" else [a.asname or a.name for a in node.names]})
 
+    def known(self, node: ast.AST) -> set[tuple[str, str]]:
+        """The names of an expression whose first name is imported somewhere in the file, or the import function."""
+        found = chain(node)
+        if found is None or found[0].id not in self.scopes.imported:
+            return set()
+        return resolve(self.scopes, node)
+
     def reference(self, node):
-        names = resolve(self.scopes, node)
-        fact = self.common(node)
+        names = self.known(node)
         if any(s == IMPORT for _, s in names):
-            self.refs.append({**fact, "names": [{"name": n, "source": s} for n, s in sorted(names)], "ref_ctx": self.ref_ctx})
+            self.refs.append({**self.common(node), "names": [{"name": n, "source": s} for n, s in sorted(names)], "ref_ctx": self.ref_ctx})
 
     def visit_Name(self, node):  # noqa: N802
         if isinstance(node.ctx, ast.Load):
@@ -300,20 +316,18 @@ class Extractor(ast.NodeVisitor):
         self.visit(node.value)
 
     def visit_UnaryOp(self, node):  # noqa: N802
-        fact = self.common(node)
         if isinstance(node.op, ast.Invert) and isinstance(node.operand, ast.Constant) and isinstance(node.operand.value, bool):
-            self.unary.append({**fact, "pattern": "bool-bitwise-inversion"})
+            self.unary.append({**self.common(node), "pattern": "bool-bitwise-inversion"})
         self.visit(node.operand)
 
     def visit_Call(self, node):  # noqa: N802
-        names = resolve(self.scopes, node.func)
-        fact = self.common(node)
+        names = self.known(node.func)
         if any(s in (IMPORT, BUILTIN) for _, s in names):
             positional = [x for x in node.args if not isinstance(x, ast.Starred)]
             keys = [k.arg for k in node.keywords if k.arg is not None]
             lit = lambda x: dict(zip(("resolved", "type", "value"), literal(x), strict=True))
             call = {
-                **fact,
+                **self.common(node),
                 "names": [{"name": n, "source": s} for n, s in sorted(names)],
                 "func": self.region(node.func),
                 "positional": [lit(x) for x in positional],
@@ -379,11 +393,11 @@ def extract(path: str | None, source: str, window: tuple[int, ...], blocked: fro
         out["diagnostics"].append({"code": "PYA1001", "message": "a source file has no path", **at})
         return out
     try:
-        comments = check_nesting(source)
+        comments = check_nesting(source, tool)
         tree = ast.parse(source)
         if tree_depth(tree) > MAX_TREE:
             raise TooDeep("syntax tree nesting exceeds the limit")
-        x = Extractor(source, tree, window, frozenset({"typing"}) if path.endswith(".pyi") else frozenset({"runtime"}), blocked)
+        x = Extractor(source, tree, window, frozenset({"typing"}) if path.endswith(".pyi") else frozenset({"runtime"}), blocked, bool(comments))
         regions = x.regions
         for k in ("imports", "refs", "calls", "unary", "patches"):
             out[k] = getattr(x, k)

@@ -11,6 +11,46 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
+# Fields of contexts and operators, whose nodes have no fields.
+LEAVES = frozenset({"ctx", "op", "ops"})
+_fields: dict[type, tuple[str, ...]] = {}
+
+
+def children(node: ast.AST) -> list[ast.AST]:
+    """Nodes below a node in order, but for contexts and operators."""
+    names = _fields.get(node.__class__)
+    if names is None:
+        names = _fields[node.__class__] = () if isinstance(node, (ast.Constant, ast.Name)) else tuple(f for f in node._fields if f not in LEAVES)
+    out = []
+    for name in names:
+        value = getattr(node, name, None)
+        if value.__class__ is list:
+            out += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST):
+            out.append(value)
+    return out
+
+
+class Walk:
+    """Visits a tree by methods named after classes, which are looked up once a class."""
+
+    _methods: dict[type, object] = {}
+
+    def __init_subclass__(cls):
+        cls._methods = {}
+
+    def visit(self, node: ast.AST) -> None:
+        kind = node.__class__
+        method = self._methods.get(kind)
+        if method is None:
+            method = self._methods[kind] = getattr(type(self), f"visit_{kind.__name__}", Walk.generic_visit)
+        method(self, node)
+
+    def generic_visit(self, node: ast.AST) -> None:
+        for n in children(node):
+            self.visit(n)
+
+
 class Scope:
     def __init__(self, kind: str, parent: Scope | None, name: str | None = None):
         self.kind, self.parent, self.name = kind, parent, name
@@ -45,18 +85,21 @@ class Scope:
         return {(f"builtins.{name}", BUILTIN)} if name in _BUILTINS else set()
 
 
-class Scopes(ast.NodeVisitor):
+class Scopes(Walk):
     """The scope that each node is looked up in, and all bindings."""
 
-    def __init__(self, tree: ast.Module):
+    def __init__(self, tree: ast.Module, outer: bool = True):
+        """outer: whether any global or nonlocal statement may be in the tree."""
+        self.declares = outer
         self.of: dict[int, Scope] = {}
+        self.imported = {"__import__"}
         self.scope = Scope("module", None)
         self.root = self.scope
         self.visit(tree)
 
     def visit(self, node: ast.AST):
         self.of[id(node)] = self.scope
-        return super().visit(node)
+        super().visit(node)
 
     def _inside(self, scope: Scope, *nodes) -> None:
         was, self.scope = self.scope, scope
@@ -75,7 +118,7 @@ class Scopes(ast.NodeVisitor):
         if name:
             self.scope.local(name)
         inner = Scope("function", self.scope, name)
-        for n in ast.walk(node) if name else ():
+        for n in ast.walk(node) if name and self.declares else ():
             if isinstance(n, (ast.Global, ast.Nonlocal)):
                 for x in n.names:
                     inner.outer.setdefault(x, "global" if isinstance(n, ast.Global) else "nonlocal")
@@ -141,16 +184,15 @@ class Scopes(ast.NodeVisitor):
 
     def visit_Import(self, node):  # noqa: N802
         for a in node.names:
-            if a.asname:
-                self.scope.bind(a.asname, a.name, IMPORT)
-            else:
-                top = a.name.partition(".")[0]
-                self.scope.bind(top, top, IMPORT)
+            top = a.name.partition(".")[0]
+            self.imported.add(a.asname or top)
+            self.scope.bind(a.asname or top, a.name if a.asname else top, IMPORT)
 
     def visit_ImportFrom(self, node):  # noqa: N802
         base = "." * node.level + (node.module or "")
         for a in node.names:
             if a.name != "*":
+                self.imported.add(a.asname or a.name)
                 self.scope.bind(a.asname or a.name, f"{base}.{a.name}" if node.module else base + a.name, IMPORT)
 
 
