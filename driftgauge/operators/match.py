@@ -6,8 +6,6 @@ Project modules are joined without a hint: their number grows with the source tr
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +15,32 @@ COMMON = "seq:int,sl:int,sc:int,el:int,ec:int,scope:string,reach:array<int>,ctx:
 R = "sl:int,sc:int,el:int,ec:int"
 NAMES = "names:array<struct<name:string,source:string>>"
 LIT = "resolved:boolean,type:string,value:string"
+#: Uses: i import, r reference, c call (at its function), d literal dynamic import, u unary pattern.
 PARSED = f"""path string, status string,
-imports array<struct<{COMMON},module:string,syntax:string,bound_names:array<string>>>,
-refs array<struct<{COMMON},{NAMES},ref_ctx:string>>,
-calls array<struct<{COMMON},{NAMES},func:struct<{R}>,positional:array<struct<{LIT}>>,keywords:array<struct<name:string,{LIT}>>,star:boolean,star_star:boolean,repeated:boolean,module:string>>,
-unary array<struct<{COMMON},pattern:string>>,
+facts array<struct<use:string,{COMMON},{NAMES},module:string,pattern:string,syntax:string,bound_names:array<string>,ref_ctx:string,positional:array<struct<{LIT}>>,keywords:array<struct<name:string,{LIT}>>,star:boolean,star_star:boolean,repeated:boolean>>,
 patches array<struct<{R},active:array<int>>>,
 directives array<struct<seq:int,ids:array<string>,reason:string,line:int,col:int,statement:struct<{R}>>>,
 diagnostics array<struct<code:string,message:string,{R}>>"""
+#: Matcher kind -> the use that it looks at.
+USES = {"module-import": "i", "qualified-reference": "r", "qualified-call": "c", "call-shape": "c", "literal-dynamic-import": "d", "builtin-pattern": "u"}
+#: What an inference says of a use.
+SAYS = {"i": "import of", "r": "reference to", "c": "reference to", "d": "dynamic import of"}
 #: Files whose facts a worker holds at once.
 STEP = 100
 BASE = ["path", "rule_id", "kind", "subject", "sl", "sc", "el", "ec", "scope", "seq", "reach", "ctx", "confidence", "evidence"]
 
 
+def flat(out: dict) -> dict:
+    """The facts of a file in one list, each with its use; a call that imports a literal name counts as both."""
+    facts = [{"use": u, **x} for u, k in (("i", "imports"), ("r", "refs"), ("u", "unary")) for x in out[k]]
+    for x in out["calls"]:
+        if any(n["source"] == "import" for n in x["names"]):
+            facts.append({"use": "c", **x, **x["func"]})
+        if x["module"] is not None:
+            facts.append({"use": "d", **x})
+    return {"path": out["path"], "status": out["status"], "facts": facts, "patches": out["patches"], "directives": out["directives"], "diagnostics": out["diagnostics"]}
+
+
 def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = "driftgauge") -> DataFrame:
     """files (path, source) to one row of facts each. The only Python of a scan; no shuffle."""
     import pyarrow as pa
@@ -45,7 +56,7 @@ def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = f
         for batch in frames:
             for at in range(0, batch.num_rows, STEP):  # the facts of a few files at a time
                 some = batch.slice(at, STEP)
-                rows = [extract(p.as_py(), s.as_py() or "", window, blocked, tool) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
+                rows = [flat(extract(p.as_py(), s.as_py() or "", window, blocked, tool)) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path", "source").mapInArrow(run, schema)
@@ -71,50 +82,47 @@ def _names(column: str = "names") -> F.Column:
 
 
 def match(parsed: DataFrame, rules: DataFrame, matchers: DataFrame, modules: DataFrame | None = None, source_roots: tuple[str, ...] = (".", "src")) -> tuple[DataFrame, DataFrame]:
-    """(matches, inferences). modules: (key, candidates) of local modules that compete with a library's."""
-    subject = F.broadcast(rules.select("rule_id", "subject"))
+    """(matches, inferences). modules: (key, candidates) of local modules that compete with a library's.
+
+    All uses and all matchers meet in one join on (use, name); what a kind asks beyond the name is a condition on the pair.
+    """
     roots = F.array(*map(F.lit, source_roots))
-    m = matchers.join(subject, "rule_id")
-    of = lambda *kinds: F.broadcast(m.where(F.col("kind").isin(*kinds)).drop("contexts").withColumn("ref_contexts", F.lit(None).cast("array<string>")) if kinds != ("qualified-reference",) else m.where(F.col("kind").isin(*kinds)).withColumnRenamed("contexts", "ref_contexts"))
-
-    imports = facts(parsed, "imports").withColumn("name", F.explode(E.prefixes("module")))
-    mi = imports.join(of("module-import"), "name").withColumn("confidence", F.lit("high"))
-    mi = mi.withColumn("top", E.top("module")).withColumn("evidence", _evidence(bound_names=F.col("bound_names"), imported_module=_one(F.col("module")), resolution=_one("no-competing-project-module"), source_roots=roots, syntax=_one(F.col("syntax"))))
-
-    refs = facts(parsed, "refs").withColumn("name", F.explode(F.expr("array_distinct(transform(filter(names, n -> n.source = 'import'), n -> n.name))")))
-    qr = refs.join(of("qualified-reference"), "name").where("size(ref_contexts) = 0 or array_contains(ref_contexts, ref_ctx)")
-    qr = qr.withColumn("resolution", E.resolution("names", "name", "import")).withColumn("confidence", E.confidence("resolution")).where("confidence is not null")
-    qr = qr.withColumn("top", E.top("name")).withColumn("evidence", _evidence(qualified_names=_names(), reference_context=_one(F.col("ref_ctx")), resolution=_one(F.col("resolution"))))
-
-    calls = facts(parsed, "calls")
-    named = calls.withColumn("name", F.explode(F.expr("array_distinct(transform(filter(names, n -> n.source = 'import'), n -> n.name))")))
-    qc = named.join(of("qualified-call", "call-shape"), "name").where((F.col("kind") == "qualified-call") | E.call_shape())
-    qc = qc.withColumn("resolution", E.resolution("names", "name", "import")).drop("confidence").withColumn("confidence", E.confidence("resolution")).where("confidence is not null")
-    shape = _evidence(keyword_names=F.array_sort(F.expr("transform(keywords, k -> k.name)")), positional_count=_one(F.size("positional").cast("string")), qualified_names=_names(), resolution=_one(F.col("resolution")))
-    plain = _evidence(qualified_names=_names(), resolution=_one(F.col("resolution")))
-    qc = qc.withColumn("top", E.top("name")).withColumn("evidence", F.when(F.col("kind") == "call-shape", shape).otherwise(plain))
-    for c in ("sl", "sc", "el", "ec"):
-        qc = qc.withColumn(c, F.col(f"func.{c}"))
-
-    dyn = calls.where("module is not null").withColumn("name", F.explode(E.prefixes("module")))
-    dyn = dyn.withColumn("function", F.expr("if(exists(names, n -> n.name = 'importlib.import_module' and n.source = 'import'), 'importlib.import_module', 'builtins.__import__')"))
-    dyn = dyn.withColumn("resolution", F.when(F.col("function") == "importlib.import_module", E.resolution("names", "function", "import")).otherwise(E.resolution("names", "function", "builtin", "import")))
-    ld = dyn.withColumn("resolved", E.confidence("resolution")).where("resolved is not null").join(of("literal-dynamic-import"), "name")
-    ld = ld.withColumn("confidence", F.expr("if('medium' in (confidence, resolved), 'medium', confidence)"))
-    ld = ld.withColumn("top", E.top("module")).withColumn("evidence", _evidence(dynamic_function=_one(F.col("function")), imported_module=_one(F.col("module")), qualified_names=_names(), resolution=_one(F.col("resolution"))))
-
-    bp = facts(parsed, "unary").withColumn("name", F.col("pattern")).join(of("builtin-pattern"), "name").withColumn("confidence", F.lit("high")).withColumn("top", F.lit(None).cast("string"))
-    bp = bp.withColumn("evidence", _evidence(pattern=_one(F.col("pattern")), resolution=_one("builtin-pattern")))
-
-    what = {"mi": (mi, "concat('import of ', module)", "module"), "qr": (qr, "concat('reference to ', name)", "name"), "qc": (qc, "concat('reference to ', name)", "name"), "ld": (ld, "concat('dynamic import of ', module)", "module")}
-    kept, lost = [bp.select(*BASE)], []
-    for key, (frame, text, named_by) in what.items():
-        if modules is None:
-            kept.append(frame.select(*BASE))
-            continue
-        kept.append(frame.join(modules.select(F.col("key").alias("top")), "top", "left_anti").select(*BASE))
-        inf = frame.join(modules.withColumnRenamed("key", "top"), "top").select("path", "sl", "sc", "el", "ec", F.lit("PYA2001").alias("code"), F.lit("module-resolution").alias("kind"), F.expr(f"concat('did not classify ', {text}, ' as standard library because a competing project module exists')").alias("message"), F.create_map(F.lit("candidate_paths"), F.col("candidates"), F.lit("qualified_name" if named_by == "name" else "imported_module"), F.array(named_by), F.lit("resolution"), _one("competing-project-module"), F.lit("source_roots"), roots).alias("evidence"))
-        lost.append(inf.dropDuplicates(["path", "sl", "sc", "el", "ec", "message"]))
+    use_of = F.create_map(*[F.lit(x) for pair in USES.items() for x in pair])
+    m = matchers.join(F.broadcast(rules.select("rule_id", "subject")), "rule_id").withColumnsRenamed({"contexts": "ref_contexts", "confidence": "stated"}).withColumn("use", use_of[F.col("kind")])
+
+    imported = F.expr("array_distinct(transform(filter(names, n -> n.source = 'import'), n -> n.name))")
+    keys = F.when(F.col("use").isin("i", "d"), E.prefixes("module")).when(F.col("use") == "u", F.array("pattern")).otherwise(imported)
+    function = F.expr("if(exists(names, n -> n.name = 'importlib.import_module' and n.source = 'import'), 'importlib.import_module', 'builtins.__import__')")
+    met = facts(parsed, "facts").select("*", F.explode(keys).alias("name"), function.alias("function")).join(F.broadcast(m), ["use", "name"])
+    met = met.where((F.col("kind") != "qualified-reference") | F.expr("size(ref_contexts) = 0 or array_contains(ref_contexts, ref_ctx)")).where((F.col("kind") != "call-shape") | E.call_shape())
+
+    use = F.col("use")
+    called = F.when(F.col("function") == "importlib.import_module", E.resolution("names", "function", "import")).otherwise(E.resolution("names", "function", "builtin", "import"))
+    resolution = F.when(use == "i", "no-competing-project-module").when(use == "u", "builtin-pattern").when(use == "d", called).otherwise(E.resolution("names", "name", "import"))
+    met = met.withColumn("resolution", resolution).withColumn("resolved", E.confidence("resolution")).where("resolved is not null or use in ('i', 'u')")
+
+    one = {k: _one(F.col(k)) for k in ("resolution", "module", "syntax", "ref_ctx", "function", "pattern")}
+    evidence = F.when(use == "i", _evidence(bound_names=F.col("bound_names"), imported_module=one["module"], resolution=one["resolution"], source_roots=roots, syntax=one["syntax"]))
+    evidence = evidence.when(use == "r", _evidence(qualified_names=_names(), reference_context=one["ref_ctx"], resolution=one["resolution"]))
+    evidence = evidence.when(F.col("kind") == "call-shape", _evidence(keyword_names=F.array_sort(F.expr("transform(keywords, k -> k.name)")), positional_count=_one(F.size("positional").cast("string")), qualified_names=_names(), resolution=one["resolution"]))
+    evidence = evidence.when(use == "c", _evidence(qualified_names=_names(), resolution=one["resolution"]))
+    evidence = evidence.when(use == "d", _evidence(dynamic_function=one["function"], imported_module=one["module"], qualified_names=_names(), resolution=one["resolution"]))
+    evidence = evidence.otherwise(_evidence(pattern=one["pattern"], resolution=one["resolution"]))
+    met = met.withColumns({
+        "confidence": F.expr("case when use in ('i', 'u') then 'high' when use = 'd' then if('medium' in (stated, resolved), 'medium', stated) else resolved end"),
+        "top": F.when(use.isin("i", "d"), E.top("module")).when(use != "u", E.top("name")),
+        "evidence": evidence,
+    })
+
     guard = parsed.select("path", F.explode("patches").alias("f")).select("path", "f.sl", "f.sc", "f.el", "f.ec", F.lit("PYA2002").alias("code"), F.lit("version-guard").alias("kind"), F.lit("patch-level Python version guard is unsupported and was treated as unknown").alias("message"), _evidence(guard_granularity=_one("patch"), reachability=_one("both-branches")).alias("evidence"), "f.active")
-    lost = [x.withColumn("active", F.lit(None).cast("array<int>")) for x in lost]
-    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, [*lost, guard])
+    if modules is None:
+        return met.select(*BASE), guard
+    kept = met.join(modules.select(F.col("key").alias("top")), "top", "left_anti").select(*BASE)
+    named = use.isin("r", "c")
+    says = F.create_map(*[F.lit(x) for pair in SAYS.items() for x in pair])
+    shown = F.when(named, F.col("name")).otherwise(F.col("module"))
+    message = F.concat(F.lit("did not classify "), says[use], F.lit(" "), shown, F.lit(" as standard library because a competing project module exists"))
+    about = F.create_map(F.lit("candidate_paths"), F.col("candidates"), F.when(named, "qualified_name").otherwise("imported_module"), F.array(shown), F.lit("resolution"), _one("competing-project-module"), F.lit("source_roots"), roots)
+    lost = met.join(modules.withColumnRenamed("key", "top"), "top").select("use", "path", "sl", "sc", "el", "ec", F.lit("PYA2001").alias("code"), F.lit("module-resolution").alias("kind"), message.alias("message"), about.alias("evidence"), F.lit(None).cast("array<int>").alias("active"))
+    lost = lost.dropDuplicates(["use", "path", "sl", "sc", "el", "ec", "message"]).drop("use")
+    return kept, lost.unionByName(guard)

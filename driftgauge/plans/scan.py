@@ -61,7 +61,7 @@ def scan_frame(spark: SparkSession, files: DataFrame, registry: R.Registry | Non
     blocked = frozenset(k for k in modules if k in ("typing", "*"))
     parsed = M.parse(files, registry.window, blocked)
     if cached:
-        parsed = parsed.persist()  # six branches read it; without this each would parse again
+        parsed = parsed.persist()  # facts, guards, directives and diagnostics read it; without this each would parse again
     every = sorted({m.name.partition(".")[0] for r in registry.rules for m in r.matchers if m.kind != "builtin-pattern"} | {"importlib"})
     local = None
     if modules:
