@@ -136,9 +136,14 @@ def discover(root: str, paths: list[str] | None = None, include: list[str] = (),
             found[rel] = None
 
     def walk(rel: str) -> None:
-        if gitignore:
-            ignores.load(rel)
-        for name in sorted(os.listdir(os.path.join(root, rel))):
+        try:
+            names = sorted(os.listdir(os.path.join(root, rel)))
+            if gitignore:
+                ignores.load(rel)
+        except OSError as e:
+            found[rel or "."] = ("PYA1001", f"directory cannot be listed: {e.strerror}")
+            return
+        for name in names:
             own = f"{rel}/{name}" if rel else name
             full = os.path.join(root, own)
             if os.path.isdir(full):

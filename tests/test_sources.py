@@ -166,6 +166,20 @@ def test_discovery(tmp_path):
             D.discover(str(tmp_path), bad)
 
 
+def test_directory_that_cannot_be_listed(tmp_path, monkeypatch):
+    write(tmp_path, **{"a.py": "", "shut__b.py": ""})
+    real = os.listdir
+
+    def listdir(path):
+        if path.endswith("shut"):
+            raise PermissionError(13, "Permission denied")
+        return real(path)
+
+    monkeypatch.setattr(os, "listdir", listdir)
+    d = D.discover(str(tmp_path))
+    assert d.files == ["a.py"] and d.issues == [("shut", "PYA1001", "directory cannot be listed: Permission denied")]
+
+
 def test_reading(tmp_path):
     (tmp_path / "l.py").write_bytes("# coding: latin-1\nx = 'é'\r\n".encode("latin-1"))
     (tmp_path / "u.py").write_bytes(b"\xff\xfe")
