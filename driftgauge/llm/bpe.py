@@ -31,8 +31,8 @@ SHORT, LONG = np.frombuffer(b"stmd", np.uint8), np.array([ord(a) * 256 + ord(b)
 NONE = np.uint64(2**64 - 1)
 #: Pieces that a worker's cache holds before it starts anew: some 12 MB.
 CACHE = 400_000
-#: Bytes of text that are encoded together.
-STEP = 1 << 20
+#: Bytes of text that are encoded together, and of a piece beyond which it is cut where no merge can cross.
+STEP, LONG_PIECE = 1 << 20, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,21 +87,30 @@ def byte_kinds(buf: np.ndarray) -> np.ndarray:
     return kind
 
 
-def safe_cuts(buf: np.ndarray, most: int):
-    """(start, stop) of parts of a long text, cut before a space between two ASCII letters, where a piece always begins."""
-    at, n = 0, len(buf)
-    letter = np.zeros(256, bool)
-    letter[[*range(65, 91), *range(97, 123)]] = True
+def safe_cuts(buf: np.ndarray, most: int, specials: tuple[bytes, ...] = ()):
+    """(start, stop) of parts of some most bytes of a long text, cut only where a piece always begins.
+
+    That is before white space that follows something else, and where a run of letters or digits ends at another class; what
+    stands before the cut is no matter to the pieces behind it, and an apostrophe's letters are not cut from it. A special
+    token is never cut. A stretch without such a place, as one word of any length, is one part."""
+    at, n, edge = 0, len(buf), max(map(len, specials), default=1) - 1
     while at < n:
-        end = at + most
-        while end < n - 1:
-            x = buf[end - 1 : min(end + most, n)]
-            hit = np.flatnonzero(letter[x[:-2]] & (x[1:-1] == 0x20) & letter[x[2:]])
-            if len(hit):
-                end += int(hit[0])
+        low = at + most
+        end = n
+        while low < n:
+            a, b = low - 4, min(low + most, n)
+            while a > at and buf[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < n and buf[b] & 0xC0 == 0x80:
+                b += 1
+            kind = byte_kinds(buf[a:b])
+            was, now = kind[:-1], kind[1:]
+            hits = np.flatnonzero((was != SPACE) & (was != now) & ((was != OTHER) | (now == SPACE))) + a + 1
+            found = next((p for p in hits[hits >= low].tolist() if not any((k := buf[max(0, p - len(t) + 1) : p + len(t) - 1].tobytes().find(t)) >= 0 and k < min(p, len(t) - 1) for t in specials)), None)
+            if found is not None:
+                end = found
                 break
-            end += most - 2
-        end = end if end < n - 1 else n
+            low = b
         yield at, end
         at = end
 
@@ -135,6 +144,11 @@ class Bpe:
         both = np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)
         pair = np.stack(both, 1).ravel()
         self.byte_pairs = self.rank_of(pair, np.repeat(np.arange(65536), 2), np.arange(0, 131072, 2)).astype(np.int32)
+        flat = np.frombuffer(b"".join(self.bytes), np.uint8).astype(np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(self.lengths[self.lengths > 0])[:-1]] = False
+        self.joined = np.zeros(65536, bool)
+        self.joined[(flat[:-1] * 256 + flat[1:])[inner[1:]]] = True
         self.specials = [(t.encode(), i) for t, i in sorted(self.added.items(), key=lambda x: -len(x[0]))]
         self.reset()
 
@@ -243,16 +257,31 @@ class Bpe:
             special[np.searchsorted(begin, at)] = i
         return begin, special
 
+    def parted(self, buf: np.ndarray, begin: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of more than LONG_PIECE bytes, cut between bytes that no token holds side by side: no merge crosses there."""
+        long = np.flatnonzero(np.diff(np.append(begin, len(buf))) > LONG_PIECE)
+        if not len(long):
+            return begin, special
+        stop = np.append(begin, len(buf))
+        more = [x[~self.joined[buf[x - 1].astype(np.int64) * 256 + buf[x]]] for i in long.tolist() if special[i] < 0 for x in [np.arange(begin[i] + 1, stop[i + 1])]]
+        both = np.concatenate((begin, *more))
+        order = np.argsort(both, kind="stable")
+        return both[order], np.append(special, np.full(len(both) - len(begin), -1))[order]
+
     def encode_bytes(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of texts in UTF-8, end to end, and n + 1 offsets."""
         if not len(buf):
             return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
         if len(off) == 2 and len(buf) > 2 * STEP:
-            ids = np.concatenate([self.encode_bytes(buf[a:b], np.array([0, b - a]))[0].astype(np.int32) for a, b in safe_cuts(buf, STEP)])
+            ids = np.concatenate([self._encode(buf[a:b], np.array([0, b - a]))[0].astype(np.int32) for a, b in safe_cuts(buf, STEP, tuple(t for t, _ in self.specials))])
             return ids, np.array([0, len(ids)])
+        return self._encode(buf, off)
+
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE:
             self.reset()
         begin, special = self.pieces(buf, off)
+        begin, special = self.parted(buf, begin, special)
         size = np.diff(np.append(begin, len(buf)))
         rel = np.arange(len(buf)) - np.repeat(begin, size)
         h = np.add.reduceat(BYTE_HASH[buf] * powers(int(size.max()))[rel], begin)
