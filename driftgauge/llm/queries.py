@@ -16,17 +16,23 @@ MODULES = {
     "op8_mixing": "mixing",
     "op9_scoring": "scoring",
     "op10_substring": "substring",
+    "op11_sharding": "sharding",
+    "op12_spelling": "spelling",
 }
 
 
+def query(name: str):
+    """The query, from its module; ImportError where that needs what is not there."""
+    return getattr(importlib.import_module(f"driftgauge.llm.{MODULES[name]}"), name)
+
+
+def sql(name: str) -> str | None:
+    return getattr(importlib.import_module(f"driftgauge.llm.{MODULES[name]}"), "ORACLE_SQL", None)
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"driftgauge.llm.{module}"), name) for name, module in MODULES.items()}
+    return {name: query(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for name, module in MODULES.items():
-        sql = getattr(importlib.import_module(f"driftgauge.llm.{module}"), "ORACLE_SQL", None)
-        if sql:
-            out[name] = sql
-    return out
+    return {name: text for name in MODULES if (text := sql(name))}
