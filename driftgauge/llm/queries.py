@@ -18,6 +18,7 @@ MODULES = {
     "op10_substring": "substring",
     "op11_sharding": "sharding",
     "op12_spelling": "spelling",
+    "op13_negatives": "negatives",
 }
 
 
