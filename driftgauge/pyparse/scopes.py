@@ -85,6 +85,18 @@ class Scope:
         return {(f"builtins.{name}", BUILTIN)} if name in _BUILTINS else set()
 
 
+def declared(body: list[ast.stmt]) -> dict[str, str]:
+    """Names that global or nonlocal statements of this body itself declare; those of functions and classes in it are theirs."""
+    out, todo = {}, list(body)
+    while todo:
+        node = todo.pop()
+        if isinstance(node, (ast.Global, ast.Nonlocal)):
+            out.update(dict.fromkeys(node.names, "global" if isinstance(node, ast.Global) else "nonlocal"))
+        elif isinstance(node, (ast.stmt, ast.ExceptHandler, ast.match_case)) and not isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
+            todo += [n for n in children(node) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case))]
+    return out
+
+
 class Scopes(Walk):
     """The scope that each node is looked up in, and all bindings."""
 
@@ -118,10 +130,8 @@ class Scopes(Walk):
         if name:
             self.scope.local(name)
         inner = Scope("function", self.scope, name)
-        for n in ast.walk(node) if name and self.declares else ():
-            if isinstance(n, (ast.Global, ast.Nonlocal)):
-                for x in n.names:
-                    inner.outer.setdefault(x, "global" if isinstance(n, ast.Global) else "nonlocal")
+        if name and self.declares:
+            inner.outer = declared(node.body)
         for x in every:
             self.of[id(x)] = inner
             inner.local(x.arg)
@@ -139,7 +149,10 @@ class Scopes(Walk):
         for n in [*node.decorator_list, *node.bases, *node.keywords]:
             self.visit(n)
         self.scope.local(node.name)
-        self._inside(Scope("class", self.scope, node.name), getattr(node, "type_params", []), node.body)
+        inner = Scope("class", self.scope, node.name)
+        if self.declares:
+            inner.outer = declared(node.body)
+        self._inside(inner, getattr(node, "type_params", []), node.body)
 
     def _comprehension(self, node):
         inner = Scope("comprehension", self.scope)
