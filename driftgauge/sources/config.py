@@ -8,8 +8,10 @@ import re
 import tomllib
 from dataclasses import dataclass, field
 
+from driftgauge.sources import paths as P
 from driftgauge.sources.registry import Registry, RegistryError, minor
 
+MAX_BASELINE_BYTES = 64 << 20
 KEYS = ("baseline-python", "horizon-python", "source-roots", "include", "exclude", "respect-gitignore", "minimum-confidence", "fail-on", "show-unscheduled", "allow-incomplete", "max-file-size-bytes", "per-file-ignores")
 
 
@@ -134,18 +136,26 @@ def project_root(start: str | None) -> str:
     return here
 
 
-def load_baseline(path: str) -> list[str]:
-    """Fingerprints of a baseline document; repeated members and unknown fields are errors."""
+def load_baseline(path: str, root: str | None = None) -> list[str]:
+    """Fingerprints of a baseline document; repeated members and unknown fields are errors. With a root, the file lies beneath it, and
+    no link leads to it."""
 
     def unique(pairs):
         if len({k for k, _ in pairs}) != len(pairs):
             raise ConfigurationError(f"{path}: a member is repeated")
         return dict(pairs)
 
+    full = os.path.normpath(os.path.join(root or os.getcwd(), path))
+    base = os.path.realpath(root) if root else os.path.dirname(full)
+    if root and not full.startswith(base + os.sep):
+        full = os.path.join(os.path.realpath(os.path.dirname(full)), os.path.basename(full))
     try:
-        with open(path, encoding="utf-8") as f:
-            doc = json.load(f, object_pairs_hook=unique)
+        if not full.startswith(os.path.join(base, "")):
+            raise P.Unsafe("outside the root")
+        doc = json.loads(P.read(base, os.path.relpath(full, base), MAX_BASELINE_BYTES).decode("utf-8"), object_pairs_hook=unique)
     except (OSError, ValueError) as e:
+        if isinstance(e, ConfigurationError):
+            raise
         raise ConfigurationError(f"{path}: {e}") from e
     if not isinstance(doc, dict) or set(doc) != {"schema_version", "created_by", "registry_revision", "findings"} or doc["schema_version"] != 1 or not isinstance(doc["findings"], list):
         raise ConfigurationError(f"{path}: not a baseline of version 1")

@@ -56,9 +56,11 @@ def glob_regex(pattern: str) -> str | None:
         elif p.startswith("/**", i) and i + 3 == len(p):
             out, i = out + "/.+", i + 3
         elif p[i] == "*":
+            whole = i == 0 or p[i - 1] == "/"
             while i + 1 < len(p) and p[i + 1] == "*":
                 i += 1
-            out, i = out + "[^/]*", i + 1
+            i += 1
+            out += "[^/]+" if whole and (i == len(p) or p[i] == "/") else "[^/]*"  # a component is never empty
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
         elif p[i] == "[" and (end := p.find("]", i + 2)) > 0:
@@ -71,14 +73,13 @@ def glob_regex(pattern: str) -> str | None:
     return ("" if anchored else "(?:.*/)?") + out + ("/" if only_dir else "/?") + ("" if only_dir else "") + ("(?:.*)?" if only_dir else "(?:(?<=/).*)?")
 
 
+def glob_rules(lines: list[str]) -> list[tuple[bool, str]]:
+    """(re-includes, regular expression) of the lines that are patterns."""
+    return [(line.startswith("!"), r) for line in lines if (r := glob_regex(line)) is not None]
+
+
 def compile_lines(lines: list[str]) -> list[tuple[bool, re.Pattern]]:
-    """(re-includes, pattern) of the lines that are patterns."""
-    out = []
-    for line in lines:
-        r = glob_regex(line)
-        if r is not None:
-            out.append((line.startswith("!"), re.compile(r)))
-    return out
+    return [(again, re.compile(r)) for again, r in glob_rules(lines)]
 
 
 def decided(specs: list[tuple[bool, re.Pattern]], path: str) -> bool | None:
@@ -124,8 +125,7 @@ def ignore_rules(fd: int, rel: str) -> Entry | None:
     except OSError as e:
         return Entry(rel, "rules", None, "incomplete", f"{own} {e}" if isinstance(e, P.Unsafe) else f"unable to read {own}")
     try:
-        lines = raw.decode("utf-8").splitlines()
-        got = [(line.startswith("!"), r) for line in lines if (r := glob_regex(line)) is not None]
+        got = glob_rules(raw.decode("utf-8").splitlines())
         for _, r in got:
             re.compile(r)
     except UnicodeError:

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftgauge.sources import paths as P
 from driftgauge.sources import schema
 
 # Rule, kind of subject, subject, events (dep deprecated, rem removed, sig signature
@@ -642,9 +643,12 @@ def validate(registry: Registry) -> None:
             raise RegistryError(f"{r.id}: matchers and contexts are required")
 
 
-def _yaml(path: str):
+def _yaml(root: str, rel: str):
+    """A document beneath the registry's folder; no link leads to it, and what is read is the file that was opened."""
     import yaml
 
+    path = os.path.join(root, rel)
+
     class Loader(yaml.SafeLoader):
         pass
 
@@ -655,10 +659,10 @@ def _yaml(path: str):
         return {k: loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}
 
     Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
-    if os.path.islink(path) or os.path.getsize(path) > LIMIT_BYTES:
-        raise RegistryError(f"{path}: a link or larger than {LIMIT_BYTES} bytes")
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    try:
+        text = P.read(root, rel, LIMIT_BYTES).decode("utf-8")
+    except (OSError, UnicodeError) as e:
+        raise RegistryError(f"{path}: {'a link or ' if os.path.islink(path) else ''}{e}") from e
     try:
         nodes, depth = 0, 0
         for event in yaml.parse(text):
@@ -691,9 +695,9 @@ def inside(root: str, *names: str) -> None:
             raise RegistryError(f"{name}: outside the registry")
 
 
-def checked(path: str, name: str) -> dict:
-    """A document, or its first problems as an error."""
-    doc = _yaml(path)
+def checked(root: str, path: str, name: str) -> dict:
+    """A document of the registry's folder, or its first problems as an error."""
+    doc = _yaml(root, path)
     found = schema.problems(doc, schema.DOCUMENTS[name]) or (schema.rule_problems(doc) if name == "rule" else [])
     if found:
         raise RegistryError(f"{path}: {'; '.join(found[:5])}")
@@ -707,16 +711,16 @@ def load(path: str | None = None) -> Registry:
     index_path = os.path.join(path, "index.yaml") if os.path.isdir(path) else path
     root = os.path.dirname(os.path.abspath(index_path))
     try:
-        index = checked(index_path, "index")
+        index = checked(root, os.path.basename(index_path), "index")
         inside(root, *index["rules"], *index.get("coverage", ()), index["releases"])
-        releases = tuple((minor(r["python"]), r["status"], r.get("released_on") or r.get("expected_final_on")) for r in checked(os.path.join(root, index["releases"]), "releases")["releases"])
+        releases = tuple((minor(r["python"]), r["status"], r.get("released_on") or r.get("expected_final_on")) for r in checked(root, index["releases"], "releases")["releases"])
         rules = []
         for name in index["rules"]:
-            d = checked(os.path.join(root, name), "rule")
+            d = checked(root, name, "rule")
             impact = d["impact"]
             events = tuple((e["event"], minor(e["python"]), e["certainty"], e["source"], impact[ON[e["event"]]]) for e in d["timeline"])
             rules.append(Rule(d["id"], d["title"].strip(), d["subject"]["kind"], d["subject"]["name"], tuple(d["scope"]["contexts"]), events, tuple(map(_matcher, d["matchers"])), " ".join(d["remediation"]["summary"].split()), tuple((s["id"], s["title"], s["url"]) for s in d["sources"]), tuple(d.get("tags", ())), tuple(d.get("aliases", ()))))
-        coverage = {c: checked(os.path.join(root, c), "coverage") for c in index.get("coverage", ())}
+        coverage = {c: checked(root, c, "coverage") for c in index.get("coverage", ())}
         found = schema.coverage_problems(coverage, {r.id for r in rules})
         if found or {r.id for r in rules} & set(index.get("retired_ids", ())):
             raise RegistryError("; ".join(found[:5]) or "a retired rule id is used")
