@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import exprs as E
 from driftgauge.operators import findings as G
+from driftgauge.operators import ignores as I
 from driftgauge.operators import match as M
 from driftgauge.plans.corpus import TEMPLATES, corpus
 from driftgauge.plans.scan import scan_frame
 from driftgauge.sources import config as C
+from driftgauge.sources import discovery as D
 from driftgauge.sources import registry as R
 
 QUERIES: dict = {}
@@ -257,6 +259,27 @@ def baseline_status(spark, sf_dir):
     return G.with_baseline(o, o.where("o_orderkey % 2 = 0")).select("o_orderkey", "baseline_status")
 
 
+#: where the rules lie (root, hosts of .net, m. hosts' en), their lines, and what each line matches, with all below it
+_RULES = [("''", "true", ["*.html", "blog.*/", "!*1.html", "de"], ["(.*/)?[^/]*[.]html(/.*)?", "(.*/)?blog[.][^/]*/.*", "(.*/)?[^/]*1[.]html(/.*)?", "(.*/)?de(/.*)?"]), ("host", "host LIKE '%.net'", ["/fr/", "*5"], ["fr/.*", "(.*/)?[^/]*5(/.*)?"]), ("host || '/en'", "host LIKE 'm.%'", ["!*5", "7*"], ["(.*/)?[^/]*5(/.*)?", "(.*/)?7[^/]*(/.*)?"])]
+_PATH = "rtrim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/')"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT {_PATH} AS path, string_split({_PATH}, '/')[1] AS host FROM pages),
+n AS (SELECT DISTINCT path, array_to_string(string_split(path, '/')[1:k], '/') AS node, k < len(string_split(path, '/')) AS is_dir FROM u, unnest(generate_series(1, len(string_split(path, '/')))) AS t(k)),
+r AS ({" UNION ALL ".join(f"SELECT DISTINCT {base} AS base, {k} AS depth, {i} AS place, {str(line.startswith('!')).lower()} AS again, '{rx}' AS rx FROM u WHERE {which}" for k, (base, which, lines, regexes) in enumerate(_RULES) for i, (line, rx) in enumerate(zip(lines, regexes, strict=True)))}),
+v AS (SELECT node, is_dir, arg_max(again, depth * 10 + place) AS again FROM n JOIN r ON (base = '' OR starts_with(node, base || '/')) AND regexp_full_match(CASE WHEN base = '' THEN node ELSE substr(node, length(base) + 2) END || CASE WHEN is_dir THEN '/' ELSE '' END, rx) GROUP BY node, is_dir)
+SELECT DISTINCT path FROM n JOIN v USING (node, is_dir) WHERE NOT again""")
+def ignored_paths(spark, sf_dir):
+    """Paths of pages as a listing, with ignore rules at its root, for some hosts, and for a directory of others: those that are ignored."""
+    u = table(spark, sf_dir, "pages").selectExpr("rtrim('/', regexp_extract(url, '^[a-z]+://([^?#]*)', 1)) AS path").withColumn("host", F.split("path", "/")[0])
+    rules = None
+    for base, which, lines, _ in _RULES:
+        kind = F.array(*[F.struct(F.lit(again).alias("again"), F.lit(r).alias("regex")) for again, r in D.glob_rules(lines)])
+        one = u.where(which).selectExpr(f"{base} AS base").distinct().withColumn("rules", kind)
+        rules = one if rules is None else rules.union(one)
+    return I.ignored(u, rules)
+
+
 _IMPACT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'breaking' WHEN '2-HIGH' THEN 'risk' WHEN '3-MEDIUM' THEN 'deprecated' ELSE 'informational' END"
 
 
