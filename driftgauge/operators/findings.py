@@ -6,6 +6,8 @@ within the row; rules, baseline flags and per-file ignores are joined on their k
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +70,51 @@ def directive_rules(parsed: DataFrame, names: DataFrame) -> tuple[DataFrame, Dat
     return first, unknown
 
 
+PLACE = ["path", "rule_id", "sl", "sc", "el", "ec"]
+
+
+def owners(places: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(path, rule_id, sl, sc, el, ec, owner) of the places that lie within intervals of their path and rule: owner is the interval, with
+    its reason, that starts last of those around the place, and of such the one that ends last.
+
+    One streaming sweep over intervals and places sorted by start. Its state is the intervals that may still own something: a later one
+    that ends no earlier drops those before it, so ends fall towards the top, and the owner is found by bisection."""
+    import pyarrow as pa
+
+    def sweep(frames):
+        key, ends, held = None, [], []
+        for batch in frames:
+            cols = [batch.column(c).to_pylist() for c in (*PLACE, "kind", "reason")]
+            hit, own = [], []
+            for n, (path, rule, sl, sc, el, ec, kind, reason) in enumerate(zip(*cols, strict=True)):
+                if (path, rule) != key:
+                    key, ends, held = (path, rule), [], []
+                end = (-el, -ec)
+                if kind == 0:
+                    while ends and ends[-1] >= end:
+                        ends.pop()
+                        held.pop()
+                    ends.append(end)
+                    held.append({"sl": sl, "sc": sc, "el": el, "ec": ec, "reason": reason})
+                elif at := bisect.bisect_right(ends, end):
+                    hit.append(n)
+                    own.append(held[at - 1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(hit, pa.int32())) for c in PLACE), pa.array(own, pa.struct([*((c, pa.int32()) for c in PLACE[2:]), ("reason", pa.string())]))], [*PLACE, "owner"])
+
+    near = places.select(*PLACE).distinct().join(intervals.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_semi")
+    both = intervals.select(*PLACE, F.lit(0).alias("kind"), "reason").union(near.select(*PLACE, F.lit(1), F.lit(None).cast("string")))
+    order = both.repartition("path", "rule_id").sortWithinPartitions("path", "rule_id", "sl", "sc", "kind", "el", "ec", "reason")
+    return order.mapInArrow(sweep, "path string, rule_id string, sl int, sc int, el int, ec int, owner struct<sl:int,sc:int,el:int,ec:int,reason:string>")
+
+
 def suppress(found: DataFrame, directives: DataFrame, ignores: DataFrame) -> DataFrame:
     """suppression struct(kind, reason, pattern): the rightmost directive statement around the finding, else the first per-file pattern."""
-    d = directives.groupBy("path", "rule_id").agg(F.collect_list(F.struct("statement.sl", "statement.sc", "statement.el", "statement.ec", "reason")).alias("near"))  # as many as one file holds
+    own = owners(found, directives.select("path", "rule_id", "statement.*", "reason"))
     i = ignores.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("place", "regex", "pattern"))).alias("ignored"))
-    out = found.join(d, ["path", "rule_id"], "left").join(F.broadcast(i), "rule_id", "left")  # as many as the configuration holds
-    out = out.withColumn("inline", F.expr("array_max(filter(near, x -> struct(x.sl, x.sc) <= struct(sl, sc) and struct(el, ec) <= struct(x.el, x.ec)))"))
+    out = found.join(own, PLACE, "left").join(F.broadcast(i), "rule_id", "left")  # as many as the configuration holds
     out = out.withColumn("pattern", F.expr("try_element_at(filter(ignored, x -> path rlike x.regex), 1).pattern"))
-    kind = F.when(F.col("inline").isNotNull(), "inline").when(F.col("pattern").isNotNull(), "per-file")
-    return out.withColumn("suppression", F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("inline.reason").alias("reason"), F.when(F.col("inline").isNull(), F.col("pattern")).alias("pattern")))).drop("near", "ignored", "inline", "pattern")
+    kind = F.when(F.col("owner").isNotNull(), "inline").when(F.col("pattern").isNotNull(), "per-file")
+    return out.withColumn("suppression", F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("owner.reason").alias("reason"), F.when(F.col("owner").isNull(), F.col("pattern")).alias("pattern")))).drop("ignored", "owner", "pattern")
 
 
 def with_baseline(found: DataFrame, baseline: DataFrame | None) -> DataFrame:

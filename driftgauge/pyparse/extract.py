@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import heapq
 import io
 import re
 import tokenize
@@ -361,6 +362,22 @@ class Extractor(Walk):
         return name if ok and kind == "str" and not name.startswith(".") else None
 
 
+def narrowest(lines: list[int], regions: list[dict]) -> list[dict | None]:
+    """For each line, in order, the region around it of fewest lines; of equals the first. One sweep with a heap of open regions: those
+    that have ended are dropped when they come to its top."""
+    waiting = sorted(((r["sl"], r["sc"], r["el"], r["ec"]) for r in regions), reverse=True)
+    opened: list[tuple[int, tuple[int, int, int, int]]] = []
+    out = []
+    for line in lines:
+        while waiting and waiting[-1][0] <= line:
+            r = waiting.pop()
+            heapq.heappush(opened, (r[2] - r[0], r))
+        while opened and opened[0][1][2] < line:
+            heapq.heappop(opened)
+        out.append(dict(zip(("sl", "sc", "el", "ec"), opened[0][1], strict=True)) if opened else None)
+    return out
+
+
 def directives(comments, regions: list[dict], tool: str = TOOL) -> tuple[list[dict], list[dict]]:
     """Suppression comments bound to the narrowest statement around them, and faults in them."""
     prefix = re.compile(rf"^#\s*{tool}:")
@@ -376,10 +393,9 @@ def directives(comments, regions: list[dict], tool: str = TOOL) -> tuple[list[di
             text = "a suppression must name at least one rule" if m else f"invalid suppression; write # {tool}: ignore[RULE] -- reason"
             faults.append({"code": "PYA3002", "message": text, **where})
             continue
-        line = c.start[0]
-        around = [r for r in regions if r["sl"] <= line <= r["el"]]
-        best = min(around, key=lambda r: (r["el"] - r["sl"], r["sl"], r["sc"], r["el"], r["ec"]), default=None)
-        out.append({"seq": n, "ids": ids, "reason": (m["reason"] or "").strip() or None, "line": line, "col": c.start[1] + 1, "statement": best})
+        out.append({"seq": n, "ids": ids, "reason": (m["reason"] or "").strip() or None, "line": c.start[0], "col": c.start[1] + 1})
+    for d, statement in zip(out, narrowest([d["line"] for d in out], regions), strict=True):  # comments are in order of their lines
+        d["statement"] = statement
     return out, faults
 
 
