@@ -61,34 +61,40 @@ def ignore_rows(registry: R.Registry, ignores: dict) -> tuple[list[tuple], list[
     return rows, unknown
 
 
-def local_modules(spark: SparkSession, modules: dict[str, list[str]] | DataFrame | None, names: list[str]) -> tuple[DataFrame | None, frozenset[str]]:
-    """((key, candidates) of the tree's own modules among these names, and which of typing and * are provided)."""
-    if modules is None or modules == {} if not isinstance(modules, DataFrame) else False:
+def local_modules(spark: SparkSession, modules: dict[str, list[str]] | DataFrame | None, names: list[str], plain: bool = False) -> tuple[DataFrame | None, frozenset[str]]:
+    """((key, candidates) of the tree's own modules among these names, and which of typing and * are provided).
+
+    plain: it is known that neither is."""
+    if modules is None or isinstance(modules, dict) and not modules:
         return None, frozenset()
     if isinstance(modules, dict):
+        star, special = sorted(modules.get("*", [])), frozenset(modules) & {"typing", "*"}
         modules = spark.createDataFrame([(k, p) for k, paths in modules.items() for p in paths], "key string, path string")
+    elif plain:
+        star, special = [], frozenset()
+    else:  # links that hide a source root: no more than there are roots
+        found = modules.where("key in ('typing', '*')").select("key", F.when(F.col("key") == "*", F.col("path")).alias("path")).distinct().collect()
+        star, special = sorted(r.path for r in found if r.key == "*"), frozenset(r.key for r in found)
     own = modules.where(F.col("key").isin(names)).groupBy("key").agg(F.collect_set("path").alias("own"))
-    special = modules.where("key in ('typing', '*')").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 1000).alias("paths")).collect()  # links that hide a source root; their number is bounded by that of the roots
-    star = next((r.paths for r in special if r.key == "*"), [])
     if star:
         own = spark.createDataFrame([(n,) for n in names], "key string").join(own, "key", "left")
     every = F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(*map(F.lit, star)).cast("array<string>")))
-    return own.select("key", F.array_sort(every).alias("candidates")), frozenset(r.key for r in special)
+    return own.select("key", F.array_sort(every).alias("candidates")), special
 
 
 def scan_frame(
     spark: SparkSession, files: DataFrame, registry: R.Registry | None = None, config: C.Config | None = None, modules: dict[str, list[str]] | DataFrame | None = None, baseline: list[str] | None = None,
-    issues: list[tuple] | DataFrame = (), namespace: str = G.E.NAMESPACE, cached: bool = True,
+    issues: list[tuple] | DataFrame = (), namespace: str = G.E.NAMESPACE, cached: bool = True, plain: bool = False,
 ) -> Scan:
     """Scan a frame of (path, source). Repeated paths are kept apart only by their facts; pass each once.
 
     modules: names that the project itself provides, as a dict or a frame of (key, path); issues: files that are not among them, as
-    a list or a frame of (path, code, message)."""
+    a list or a frame of (path, code, message); plain: the modules hold neither typing nor a link that could stand for any."""
     registry, config = registry or R.load(), config or C.Config()
     ship(spark)
     rules, matchers = R.rules_frame(spark, registry), R.matchers_frame(spark, registry)
     every = sorted({m.name.partition(".")[0] for r in registry.rules for m in r.matchers if m.kind != "builtin-pattern"} | {"importlib"})
-    local, blocked = local_modules(spark, modules, every)
+    local, blocked = local_modules(spark, modules, every, plain)
     parsed = M.parse(files, registry.window, blocked)
     if cached:
         parsed = parsed.persist()  # facts, guards, directives and diagnostics read it; without this each would parse again
@@ -113,9 +119,9 @@ def scan_frame(
     return Scan(registry, config, found, inferences, diagnostics, 0, 0 if isinstance(issues, DataFrame) else len(issues), parsed)
 
 
-def admitted(listing: DataFrame, root: str, paths: list[str] | None, config: C.Config) -> DataFrame:
+def admitted(listing: DataFrame, root: str, paths: list[str] | None, config: C.Config, rules: bool = True, faults: bool = True) -> DataFrame:
     """The rows of a listing that a scan takes: requested, not ignored, and selected by the configuration. An ignore file that counts
-    and is at fault raises."""
+    and is at fault raises. rules, faults: whether the listing has ignore files, and any at fault."""
     take, links = D.requests(os.path.realpath(root), paths)
     own = F.lit(False)
     for rel, is_file in take:
@@ -125,14 +131,15 @@ def admitted(listing: DataFrame, root: str, paths: list[str] | None, config: C.C
     # a directory that can't be listed is judged by what would lie in it, a link by its own name
     judged = F.when(F.col("code") == "PYA1001", F.concat("path", F.lit("/x"))).otherwise(F.col("path"))
     rows = rows.withColumn("judged", judged)
-    if config.respect_gitignore:
-        rules = listing.where("kind = 'rules'")
-        faults = rules.where("code is not null").select("path", F.concat("path", F.when(F.col("path") == "", "").otherwise("/"), F.lit("x")).alias("judged"), "code", "message")
-        good = rules.where("code is null and size(rules) > 0").select(F.col("path").alias("base"), "rules")
+    if config.respect_gitignore and (rules or faults):
+        files = listing.where("kind = 'rules'")
+        wrong = files.where("code is not null").select("path", F.concat("path", F.when(F.col("path") == "", "").otherwise("/"), F.lit("x")).alias("judged"), "code", "message")
+        good = files.where("code is null and size(rules) > 0").select(F.col("path").alias("base"), "rules")
         near = F.lit(False)
         for rel, _ in take:
             near |= F.lit(True) if not rel else F.col("path").startswith(rel + "/") | F.lit(rel + "/").startswith(F.concat("path", F.when(F.col("path") == "", "").otherwise("/")))
-        for fault in faults.where(near).join(I.ignored(faults, good, "judged").withColumnRenamed("path", "judged"), "judged", "left_anti").orderBy("path").take(1):
+        shut = wrong.join(I.ignored(wrong, good, "judged").withColumnRenamed("path", "judged"), "judged", "left_anti")
+        for fault in shut.where(near).orderBy("path").take(1) if faults else ():
             raise (D.DiscoveryError if fault.code == "error" else D.DiscoveryIncompleteError)(fault.message)
         rows = rows.join(I.ignored(rows, good, "judged").withColumnRenamed("path", "judged"), "judged", "left_anti")
     plain = I.selected("judged", D.glob_rules(config.include), D.glob_rules(config.exclude))
@@ -156,6 +163,7 @@ def scan(spark: SparkSession, root: str | None = None, paths: list[str] | None =
     inferred = config.roots_provenance.startswith("inferred")
     hidden = [] if inferred else [r for r in config.source_roots if set(r.strip("/").split("/")) & set(D.EXCLUDED)]
     listing = T.entries(spark, root, config.max_file_size_bytes, contents=False, also=hidden).persist()
+    met = listing.agg(*[F.coalesce(F.bool_or(F.expr(x)), F.lit(False)).alias(n) for n, x in (("rules", "kind = 'rules' and code is null"), ("faults", "kind = 'rules' and code is not null"), ("odd", "kind = 'link' or path rlike '(^|/)typing(/|[.])'"))]).first()
     modules = T.modules(listing, config.source_roots, inferred)
     if not inferred:
         beneath = F.lit(False)
@@ -164,13 +172,13 @@ def scan(spark: SparkSession, root: str | None = None, paths: list[str] | None =
             beneath |= F.lit(True) if not base else (F.col("path") == base) | F.col("path").startswith(base + "/") | F.lit(base).startswith(F.concat("path", F.lit("/")))
         modules = modules.where(beneath)
     try:
-        rows = admitted(listing, root, paths, config)
+        rows = admitted(listing, root, paths, config, met.rules, met.faults).persist()
     except D.DiscoveryIncompleteError as e:  # what the list of files hangs on can't be read: nothing is scanned
         none = spark.createDataFrame([], "path string, source string")
         return scan_frame(spark, none, registry, config, None, known, [(None, "PYA1001", str(e))])
     read = T.read(rows.where("kind = 'file'"), root, config.max_file_size_bytes).persist()
     issues = rows.where("code is not null").select("path", "code", "message").unionByName(read.where("code is not null").select("path", "code", "message"))
-    out = scan_frame(spark, read.where("code is null").select("path", "source"), registry, config, modules, known, issues)
+    out = scan_frame(spark, read.where("code is null").select("path", "source"), registry, config, modules, known, issues, plain=not met.odd)
     out.discovered = rows.count()
-    out.held = (listing, read)
+    out.held = (listing, rows, read)
     return out
