@@ -96,7 +96,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(args, spark=None) -> tuple[int, str]:
+def run(args, spark=None):
+    """(exit code, what is to be printed: a text, or the parts of one)."""
     if args.command == "version":
         return 0, f"{report.TOOL} {report.VERSION}\n"
     if args.command == "registry" and args.action == "schema":
@@ -122,23 +123,37 @@ def run(args, spark=None) -> tuple[int, str]:
     over = {n: getattr(args, n, None) for n in names} | {"per_file_ignores": ignores}
     spark = spark or session(**{"spark.sql.shuffle.partitions": "8"})
     done = scan(spark, args.root, args.paths or None, args.registry, args.config, getattr(args, "baseline_file", None), **over)
-    parts = report.collect(done)
-    if args.command == "baseline":
-        if parts["incomplete"] and not done.config.allow_incomplete:
-            return 3, ""
-        return 0, report.dumps(report.baseline(done, parts))
-    text = {"text": lambda: report.text(done, parts), "json": lambda: report.dumps(report.document(done, parts)), "sarif": lambda: report.dumps(report.sarif(done, parts))}[args.format]()
-    return parts["summary"]["exit_code"], text.splitlines()[-1] + "\n" if args.quiet and args.format == "text" else text
+    done.keep()
+    out = getattr(args, "output", None)
+    root = done.root
+    try:
+        if args.command == "baseline":
+            if done.incomplete() and not done.config.allow_incomplete:
+                return 3, ""
+            if out:
+                report.write(done, "baseline", out, root)
+            return 0, "" if out else report.parts(done, "baseline")
+        code = done.summary().first().exit_code
+        if args.quiet and args.format == "text":
+            return code, report.quiet(done)
+        if out:
+            report.write(done, args.format, out, root)
+            return code, ""
+        return code, report.parts(done, args.format)
+    finally:
+        if out:
+            done.release()
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     try:
         code, out = run(args, spark)
-        if getattr(args, "output", None) and out:
+        if getattr(args, "output", None) and isinstance(out, str) and out:
             report.write_atomic(args.output, out)
         else:
-            sys.stdout.write(out)
+            for part in [out] if isinstance(out, str) else out:
+                sys.stdout.write(part if isinstance(part, str) else part.decode("utf-8"))
         return code
     except (C.ConfigurationError, R.RegistryError, D.DiscoveryError, OSError) as e:
         sys.stderr.write(f"error: {e}\n")

@@ -33,6 +33,13 @@ class Scan:
     skipped: int
     parsed: DataFrame
     held: tuple[DataFrame, ...] = ()
+    root: str | None = None
+
+    def keep(self) -> None:
+        """Hold the lists on the executors, for a report that goes over them more than once."""
+        if not self.findings.is_cached:
+            self.findings, self.inferences, self.diagnostics = (x.persist() for x in (self.findings, self.inferences, self.diagnostics))
+            self.held = (*self.held, self.findings, self.inferences, self.diagnostics)
 
     def release(self) -> None:
         """Forget what the scan keeps for its frames, when these have been used."""
@@ -175,10 +182,12 @@ def scan(spark: SparkSession, root: str | None = None, paths: list[str] | None =
         rows = admitted(listing, root, paths, config, met.rules, met.faults).persist()
     except D.DiscoveryIncompleteError as e:  # what the list of files hangs on can't be read: nothing is scanned
         none = spark.createDataFrame([], "path string, source string")
-        return scan_frame(spark, none, registry, config, None, known, [(None, "PYA1001", str(e))])
+        out = scan_frame(spark, none, registry, config, None, known, [(None, "PYA1001", str(e))])
+        out.root = root
+        return out
     read = T.read(rows.where("kind = 'file'"), root, config.max_file_size_bytes).persist()
     issues = rows.where("code is not null").select("path", "code", "message").unionByName(read.where("code is not null").select("path", "code", "message"))
     out = scan_frame(spark, read.where("code is null").select("path", "source"), registry, config, modules, known, issues, plain=not met.odd)
     out.discovered = rows.count()
-    out.held = (listing, rows, read)
+    out.held, out.root = (listing, rows, read), root
     return out
