@@ -43,21 +43,21 @@ def plain(rows, spelled, odds_of):
         for a, n, key in plain_anchors(h):
             first = own[i] and key not in seen
             seen.add(key)
-            prints = [x >> 48 for x in h[a + 3 : a + 3 + n]]
-            of[i].append((a, prints, key, first))
+            ahead = ws[a + 3 : a + 3 + n]
+            of[i].append((a, ahead, key, first))
             if first:
-                for j, p in enumerate(prints):
+                for j, p in enumerate(ahead):
                     votes[key, j][p] += 1
     guesses = {}
     for i, found in of.items():
-        for a, prints, key, first in found:
+        for a, ahead, key, first in found:
             before = 0
-            for j, p in enumerate(prints):
+            for j, p in enumerate(ahead):
                 v = votes[key, j] - Counter([p] if first else [])
                 if not v:
                     before = 0
                     continue
-                n, best = min((-n, q) for q, n in v.items())
+                n, _, best = min((-n, word_hash(q), q) for q, n in v.items())
                 n, rest = -n, sum(v.values())
                 kind = (2 if n == rest else 1 if 2 * n > rest else 0) + S.AGREE * min(int(math.log2(n)), S.SUPPORT - 1)
                 cell = (kind * S.STATES + before) * S.SPAN + j
@@ -135,3 +135,27 @@ def test_same_scores_on_any_cluster(spark, texts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-6 * max(1, -one[i]) for i in one)
+
+
+def test_a_word_that_shares_hash_bits_costs_as_any_other(spark, texts):
+    """A known passage with one word replaced: by an unseen one whose hash begins as the word's own, and by other unseen ones."""
+    ship(spark)
+    passage = [f"w{i}" for i in range(60)]
+    rows, rng, replaced = [*texts, *((300 + i, " ".join(passage)) for i in range(12))], random.Random(8), {}
+    begins = defaultdict(list)
+    for i in range(400_000):
+        begins[word_hash(f"q{i:06d}") >> 48].append(f"q{i:06d}")
+    held = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    for at in range(5, 55, 5):
+        twin = next(iter(begins[word_hash(passage[at]) >> 48]), None)
+        if twin is not None:
+            for word in (twin, *(f"q{rng.randrange(400_000):06d}" for _ in range(3))):
+                i = held.pop()
+                replaced.setdefault(at, []).append(i)
+                rows.append((i, " ".join([*passage[:at], word, *passage[at + 1 :]])))
+    whole = held.pop()
+    rows.append((whole, " ".join(passage)))
+    got = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(replaced) >= 5
+    for twin, *others in replaced.values():  # spelled costs differ from word to word; a false hit would cost next to nothing more than the whole
+        assert got[twin] < got[whole] - 12 and got[twin] < max(got[i] for i in others) + 8
