@@ -24,6 +24,16 @@ def fingerprint(*fields: Column | str, namespace: str = NAMESPACE) -> Column:
     return F.sha2(F.concat_ws(NUL, F.lit(namespace), *[F.coalesce((F.col(f) if isinstance(f, str) else f).cast("string"), F.lit("")) for f in fields]), 256)
 
 
+def mask(versions: str) -> Column:
+    """A set of minor versions below 63 as the bits of a number."""
+    return F.expr(f"aggregate({versions}, 0L, (m, v) -> m | shiftleft(1L, v))")
+
+
+def unmask(bits: str) -> Column:
+    """The minor versions of such a number, in order."""
+    return F.expr(f"filter(sequence(0, 62), v -> {bits} & shiftleft(1L, v) <> 0)")
+
+
 def as_of(events: str, at: str, value: str = "impact", key: str = "py") -> Column:
     """value of the last of the sorted events whose key is at or before; null where there is none."""
     return F.expr(f"try_element_at(filter({events}, e -> e.{key} <= {at}), -1).{value}")

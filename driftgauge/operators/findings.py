@@ -17,18 +17,28 @@ KIND = "case kind when 'call-shape' then 3 when 'module-import' then 0 when 'qua
 CONF = "case confidence when 'high' then 2 when 'medium' then 1 else 0 end"
 
 
+#: Contexts by their bit.
+CONTEXTS = ("runtime", "typing")
+
+
 def strongest(matches: DataFrame) -> DataFrame:
     """One row for each (path, rule, region, subject): the strongest match, with reach, contexts and evidence merged.
 
-    Strength is confidence, then kind; of equals the one first in (kind, seq) order stays.
+    Strength is confidence, then kind; of equals the one first in (kind, seq) order stays. Matches of a place that have the same kinds of
+    evidence are folded first, as the strongest of them has it all: what is then put in order for a place is as many as there are
+    such sets, however often it was matched. Versions and contexts are bits meanwhile.
     """
     one = F.struct((-F.expr(CONF)).alias("c"), (-F.expr(KIND)).alias("p"), "kind", "seq", "confidence", "scope", F.map_entries("evidence").alias("evidence"))
     keys = ["path", "rule_id", "subject", "sl", "sc", "el", "ec"]
-    got = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reach")))).alias("reach"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ctx")))).alias("ctx"))
-    first = F.expr("array_min(transform(all, x -> struct(x.kind, x.seq)))")
+    context = sum((F.when(F.array_contains("ctx", c), 1 << n).otherwise(0) for n, c in enumerate(CONTEXTS)), F.lit(0))
+    held = F.array_join(F.array_sort(F.map_keys("evidence")), ",")
+    got = matches.withColumns({"held": held, "bits": E.mask("reach"), "places": context}).groupBy(*keys, "held").agg(F.min(one).alias("one"), F.min(F.struct("kind", "seq")).alias("first"), F.bit_or("bits").alias("bits"), F.bit_or("places").alias("places"))
+    got = got.groupBy(*keys).agg(F.array_sort(F.collect_list("one")).alias("all"), F.min("first").alias("first"), F.bit_or("bits").alias("bits"), F.bit_or("places").alias("places"))
     merged = F.expr("aggregate(all, cast(map() as map<string,array<string>>), (acc, x) -> map_concat(acc, map_filter(map_from_entries(x.evidence), (k, v) -> not map_contains_key(acc, k))))")
     top = F.col("all")[0]
-    return got.select(*keys, "reach", "ctx", top["kind"].alias("kind"), top["confidence"].alias("confidence"), top["scope"].alias("scope"), merged.alias("evidence"), first.alias("first"))
+    evidence = F.when(F.size("all") == 1, F.map_from_entries(top["evidence"])).otherwise(merged)
+    contexts = F.array_compact(F.array(*[F.when(F.col("places").bitwiseAND(1 << n) != 0, c) for n, c in enumerate(CONTEXTS)]))
+    return got.select(*keys, E.unmask("bits").alias("reach"), contexts.alias("ctx"), top["kind"].alias("kind"), top["confidence"].alias("confidence"), top["scope"].alias("scope"), evidence.alias("evidence"), "first")
 
 
 def with_ordinal(matches: DataFrame, namespace: str = E.NAMESPACE) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from driftgauge.functions import exprs as E
 from driftgauge.operators import findings as G
 from driftgauge.operators import ignores as I
+from driftgauge.operators import integrity as N
 from driftgauge.operators import match as M
 from driftgauge.plans.corpus import TEMPLATES, corpus
 from driftgauge.plans.scan import scan_frame
 from driftgauge.sources import config as C
 from driftgauge.sources import discovery as D
 from driftgauge.sources import registry as R
+from driftgauge.sources import tree as T
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -284,7 +286,7 @@ _IMPACT = "CASE o_orderpriority WHEN '1-URGENT' THEN 'breaking' WHEN '2-HIGH' TH
 
 
 #: what fails, only new, slice of the orders, incomplete, allowed
-_GATES = [("never", False, 5, False, False), ("any", True, 5, False, False), ("breaking", False, 3, False, False), ("risk", True, 3, True, False), ("deprecated", False, 4, True, True), ("breaking", True, 4, True, True), ("risk", False, 2, False, True), ("any", False, 9, False, False)]
+_GATES = [("never", False, 5, False, False), ("any", True, 5, False, False), ("breaking", False, 3, False, False), ("risk", True, 3, True, False), ("deprecated", False, 4, True, True), ("breaking", True, 4, True, True), ("risk", False, 2, False, True), ("any", False, 9, False, False), ("breaking", False, 1, False, False), ("breaking", True, 1, False, False), ("never", False, 1, False, False), ("breaking", True, 1, True, False)]
 _LEAST = {"never": 99, "any": 0, "deprecated": 1, "risk": 2, "breaking": 3}
 
 
@@ -300,7 +302,7 @@ def _gate_sql() -> str:
 
 @query(_gate_sql())
 def gate_eval(spark, sf_dir):
-    """Gates of every kind, on the orders of one priority each: counts, whether it fails, and the exit code."""
+    """Gates of every kind, on the orders of one priority each, urgent ones as breaking: counts, whether it fails, and the exit code."""
     f = table(spark, sf_dir, "orders").select(F.expr(_IMPACT).alias("impact"), F.when(F.col("o_orderstatus") == "F", "x").alias("suppression"), F.expr("if(o_orderkey % 2 = 0, 'new', 'existing')").alias("baseline_status"), F.expr("cast(substr(o_orderpriority, 1, 1) as int)").alias("p"))
     out = None
     for k, (fail, new, part, incomplete, allowed) in enumerate(_GATES):
@@ -411,6 +413,62 @@ def list_split(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.get(parts, F.lit(1)).alias("second"))
 
 
+_ENTRY = """SELECT (o_custkey % 13)::VARCHAR AS source, (o_orderkey - o_orderkey % 29 // 28)::VARCHAR AS source_key,
+CASE o_orderpriority WHEN '1-URGENT' THEN 'implemented' WHEN '2-HIGH' THEN 'partial' WHEN '3-MEDIUM' THEN 'duplicate' WHEN '5-LOW' THEN 'c-api-roadmap' ELSE 'not-applicable' END AS kind,
+o_orderkey % 5 <> 0 AS named, 'R' || o_orderkey % 7 AS rule, o_orderkey % 11 = 0 AS twice, o_orderkey % 3 = 0 AS bare FROM orders"""
+
+
+@query(f"""WITH e AS ({_ENTRY}), k AS (SELECT DISTINCT source, source_key FROM e WHERE source_key::BIGINT % 17 <> 0 UNION ALL SELECT (c_custkey % 13)::VARCHAR, 'c' || c_custkey FROM customer WHERE c_custkey % 4 = 0),
+r AS (SELECT unnest(['R0', 'R1', 'R2', 'R3', 'R4', 'R5', 'R9']) AS rule)
+SELECT source, source_key, NULL AS rule_id, 'is not classified' AS problem FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.source = k.source AND e.source_key = k.source_key)
+UNION ALL SELECT DISTINCT source, source_key, NULL, 'is not among the source keys' FROM e WHERE source_key::BIGINT % 17 = 0
+UNION ALL SELECT source, source_key, NULL, 'is classified more than once' FROM e GROUP BY source, source_key HAVING count(*) > 1
+UNION ALL SELECT DISTINCT source, source_key, rule, 'names an unknown rule' FROM e WHERE named AND rule = 'R6'
+UNION ALL SELECT source, source_key, rule, 'names a rule more than once' FROM e WHERE named GROUP BY source, source_key, rule HAVING sum(CASE WHEN twice THEN 2 ELSE 1 END) > 1
+UNION ALL SELECT source, source_key, NULL, 'names no rule' FROM e WHERE NOT named AND kind IN ('implemented', 'partial', 'duplicate')
+UNION ALL SELECT source, source_key, NULL, 'may not name rules' FROM e WHERE named AND kind NOT IN ('implemented', 'partial', 'duplicate')
+UNION ALL SELECT source, source_key, NULL, 'needs a note' FROM e WHERE bare AND kind <> 'implemented'
+UNION ALL SELECT NULL, NULL, rule, 'no source covers it' FROM r WHERE rule NOT IN (SELECT rule FROM e WHERE named AND kind IN ('implemented', 'partial'))""")
+def coverage_integrity(spark, sf_dir):
+    """Orders as entries of coverage manifests, some of them at fault: every violation."""
+    e = table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey % 13 as string) as source", "cast(o_orderkey - (o_orderkey % 29) div 28 as string) as source_key",
+        "case o_orderpriority when '1-URGENT' then 'implemented' when '2-HIGH' then 'partial' when '3-MEDIUM' then 'duplicate' when '5-LOW' then 'c-api-roadmap' else 'not-applicable' end as disposition",
+        "if(o_orderkey % 5 = 0, if(o_orderkey % 2 = 0, null, cast(array() as array<string>)), if(o_orderkey % 11 = 0, array_repeat(concat('R', o_orderkey % 7), 2), array(concat('R', o_orderkey % 7)))) as rules", "if(o_orderkey % 3 = 0, if(o_orderkey % 2 = 0, null, ' '), 'why') as note")
+    k = e.select("source", "source_key").where("cast(source_key as long) % 17 <> 0").union(table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").selectExpr("cast(c_custkey % 13 as string)", "concat('c', c_custkey)"))
+    return N.violations(e, k, spark.createDataFrame([(f"R{i}",) for i in (0, 1, 2, 3, 4, 5, 9)], "rule_id string"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages),
+f AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'src/' ELSE '' END || CASE WHEN page_id % 10 = 7 THEN 'no-name/' ELSE '' END || replace(host, '.', '/') || CASE WHEN page_id % 4 = 1 THEN '/__init__.py' WHEN page_id % 8 = 2 THEN '/m.pyi' ELSE '/m' || page_id || '.py' END AS path, string_split(host, '.')[1] AS top, page_id FROM p)
+SELECT top AS key, count(DISTINCT path) AS n FROM f WHERE page_id % 10 <> 7 AND page_id % 8 <> 2 AND regexp_full_match(replace(path, '/', '.'), '([A-Za-z_][A-Za-z0-9_]*[.])*py') GROUP BY top UNION ALL SELECT '*', 1 UNION ALL SELECT 'vendored', 1""")
+def project_modules(spark, sf_dir):
+    """Hosts of pages as packages of a tree: the top-level names that it provides itself, and from how many files; links stand for what they hide."""
+    host = "replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.', '/')"
+    path = f"concat(if(page_id % 3 = 0, 'src/', ''), if(page_id % 10 = 7, 'no-name/', ''), {host}, if(page_id % 4 = 1, '/__init__.py', if(page_id % 8 = 2, '/m.pyi', concat('/m', page_id, '.py'))))"
+    files = table(spark, sf_dir, "pages").selectExpr(f"{path} as path", "'file' as kind")
+    links = spark.createDataFrame([("src", "link"), ("vendored", "link"), ("not-a-name", "link")], "path string, kind string")
+    return T.modules(files.union(links), [".", "src"]).groupBy("key").agg(F.count("*").alias("n"))
+
+
+_TRUTH = ["sys.version_info >= (3, 0)", "sys.version_info < (3, 0)", "unknown"]
+_KLEENE = {"not_a": "NOT a", "a_and_b": "a AND b", "a_or_b": "a OR b"}
+
+
+@query("WITH g AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS a, CASE event_id // 3 % 3 WHEN 0 THEN true WHEN 1 THEN false END AS b FROM events) " + " UNION ALL ".join(f"SELECT event_id, '{n}' AS guard, coalesce(({x})::VARCHAR, 'unknown') AS truth FROM g" for n, x in _KLEENE.items()))
+def guard_truth(spark, sf_dir):
+    """Guards of made files, of which parts are true, false or unknown: what their branches can be reached by tells what the guard is."""
+    guards = F.array(*map(F.lit, _TRUTH))
+    a, b = F.element_at(guards, (F.col("event_id") % 3 + 1).cast("int")), F.element_at(guards, (F.expr("event_id div 3") % 3 + 1).cast("int"))
+    text = {"not_a": F.concat(F.lit("not ("), a, F.lit(")")), "a_and_b": F.concat(a, F.lit(" and "), b), "a_or_b": F.concat(a, F.lit(" or "), b)}
+    source = F.concat(F.lit("import sys\n"), *[x for n, t in text.items() for x in (F.lit("if "), t, F.lit(f":\n    import yes_{n}\nelse:\n    import no_{n}\n"))])
+    files = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), source.alias("source"))
+    met = M.facts(M.parse(files, (11, 12)), "facts").where("use = 'i' and module <> 'sys'").select("path", F.split("module", "_", 2).alias("part"), (F.size("reach") > 0).alias("may"))
+    may = met.groupBy("path", F.col("part")[1].alias("guard")).agg(*[F.bool_or(F.when(F.col("part")[0] == x, F.col("may"))).alias(x) for x in ("yes", "no")])
+    truth = F.when(F.col("yes") & F.col("no"), "unknown").when(F.col("yes"), "true").otherwise("false")
+    return may.select(F.col("path").cast("long").alias("event_id"), "guard", truth.alias("truth"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

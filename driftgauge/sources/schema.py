@@ -153,8 +153,12 @@ def rule_problems(rule: dict) -> list[str]:
     return out
 
 
+#: Dispositions whose entries name rules (the others may not), and those whose rules count as covered; all but implemented ones need a note.
+RULE_BACKED, COVERING = ("implemented", "partial", "duplicate"), ("implemented", "partial")
+
+
 def coverage_problems(manifests: dict[str, dict], ids: set[str]) -> list[str]:
-    """Source keys and entries without each other, entries of unknown rules, and rules that no source covers."""
+    """What operators/integrity.py finds, for a registry that is being loaded; also sources with two manifests."""
     out, covered, seen = [], set(), set()
     for name, doc in manifests.items():
         keys, said = set(doc["source_keys"]), [e["source_key"] for e in doc["entries"]]
@@ -163,10 +167,13 @@ def coverage_problems(manifests: dict[str, dict], ids: set[str]) -> list[str]:
         seen.add(doc["source"]["id"])
         out += [f"{name}: {k} is not classified" for k in sorted(keys - set(said))]
         out += [f"{name}: {k} is not among the source keys" for k in sorted(set(said) - keys)]
+        out += [f"{name}: {k} is classified more than once" for k in sorted({k for k in said if said.count(k) > 1})]
         for e in doc["entries"]:
-            out += [f"{name}: {e['source_key']} names unknown rule {r}" for r in e.get("rules", ()) if r not in ids]
-            if e["disposition"] in ("implemented", "partial"):
-                covered |= set(e.get("rules", ()))
-                if not e.get("rules"):
-                    out.append(f"{name}: {e['source_key']} names no rule")
+            rules, kind, about = e.get("rules", ()), e["disposition"], f"{name}: {e['source_key']}"
+            out += [f"{about} names unknown rule {r}" for r in sorted(set(rules)) if r not in ids]
+            out += [f"{about} names a rule more than once"] * (len(set(rules)) != len(rules))
+            if kind in COVERING:
+                covered |= set(rules)
+            out += [f"{about} names no rule"] * (kind in RULE_BACKED and not rules) + [f"{about} may not name rules"] * (kind not in RULE_BACKED and bool(rules))
+            out += [f"{about} needs a note"] * (kind != "implemented" and not (e.get("note") or "").strip())
     return out + ([f"{r}: no source covers it" for r in sorted(ids - covered)] if manifests else [])
