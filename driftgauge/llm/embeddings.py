@@ -15,7 +15,8 @@ their own, so a list of any length is searched whole. Pairs never leave a task:
 links each vector has, and a spanning forest of them.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors
-of different lengths do not link. Rows of equal vec_id do not count as each other's links.
+of different lengths do not link. Rows of equal vec_id do not count as each other's links. Ids are integers; one that is none, and
+the least integer, count as null.
 """
 
 from __future__ import annotations

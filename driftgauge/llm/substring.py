@@ -76,7 +76,8 @@ def doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def id_column(col):
-    return F.coalesce(F.col(col).cast("long"), F.lit(LEAST))
+    """Ids as integers: one that is no integer, as a text may be, counts as null, and the least integer stands for null."""
+    return F.coalesce(F.col(col).try_cast("long"), F.lit(LEAST))
 
 
 def with_bucket(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -226,10 +227,13 @@ def bucket_count(df, expand: float, each: int = 8 << 20, size: int | None = None
 
 
 def checkpoint(df):
-    """Cut the lineage in the folder that all executors share; a folder of the session's own is set only where none is."""
+    """Cut the lineage in the folder that all executors share, which spark.checkpoint.dir names. Only a session on one machine gets a folder of
+    its own where none is set; on a cluster that is an error, as executors would not see each other's files."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if folder is None:
             import os
             import tempfile

@@ -198,7 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def classify(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """df with the score of each text as a column; a narrow map."""
+    """df with the score of each text as a column, in place of one of that name; a narrow map."""
+    df = df.drop(score_col)
     at = np.flatnonzero(model[0]).astype(np.uint32)
     sent = df.sparkSession.sparkContext.broadcast((at, model[0][at], model[1]))
     schema = df.select("*", F.lit(0.0).alias(score_col)).schema
