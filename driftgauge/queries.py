@@ -451,6 +451,35 @@ def project_modules(spark, sf_dir):
     return T.modules(files.union(links), [".", "src"]).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def _made(spark, sf_dir, sources: list[str]) -> DataFrame:
+    """One file for each customer, of these sources by its key."""
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(c.cast("string").alias("path"), F.element_at(F.array(*map(F.lit, sources)), (c % len(sources) + 1).cast("int")).alias("source"))
+
+
+_CALLS = ["import a.b\na.b.c(1)\n", "from a.b import c\nx = c\n", "import a\ndef f(a):\n    return a.b.c()\n", "from a.b import c as d\nd()\nd(1)\n", "if x:\n    from a.b import c\nelse:\n    from e import c\nc()\n"]
+
+
+@query("SELECT c_custkey, line, confidence, ordinal FROM customer JOIN (VALUES (0, 2, 'high', 0), (3, 2, 'high', 0), (3, 3, 'high', 1), (4, 5, 'medium', 0)) AS e(t, line, confidence, ordinal) ON c_custkey % 5 = t")
+def scan_calls(spark, sf_dir):
+    """Calls of a function by its qualified name, under a registry of that rule: references are no calls, parameters shadow, other bindings make it uncertain."""
+    rule = R.Rule("CPY9001", "c goes", "function", "a.b.c", ("runtime",), (("deprecated", 11, "released", "s", "deprecated"), ("removed", 13, "released", "s", "breaking")), (R.Matcher("qualified-call", "a.b.c"),), "use d")
+    registry = R.Registry((rule,), tuple((v, "stable", None) for v in (11, 12, 13)), "1", "0" * 64)
+    found = scan_frame(spark, _made(spark, sf_dir, _CALLS), registry, C.Config(baseline=11, horizon=13, minimum_confidence="medium"), cached=False).findings
+    return found.select(F.col("path").cast("long").alias("c_custkey"), F.col("sl").alias("line"), "confidence", F.col("ordinal").cast("int").alias("ordinal"))
+
+
+_LISTS = ["CPY0001", " CPY0001 , ,CPY0021,CPY0001", ",,", "NOPE,CPY0012"]
+
+
+@query("SELECT c_custkey, subject, CASE c_custkey % 4 WHEN 0 THEN subject = 'cgi' WHEN 1 THEN subject IN ('cgi', 'uu') WHEN 2 THEN false ELSE subject = 'nis' END AS suppressed FROM customer, (VALUES ('cgi'), ('uu'), ('nis')) AS s(subject)")
+def directive_lists(spark, sf_dir):
+    """Lists of rules in suppression comments: blanks and repeats go, a list of blanks suppresses nothing, unknown names leave the others."""
+    files = _made(spark, sf_dir, [f"import cgi, uu, nis  # driftgauge: ignore[{x}] -- why\n" for x in _LISTS])
+    found = scan_frame(spark, files, config=C.Config(baseline=11, horizon=13), cached=False).findings
+    return found.select(F.col("path").cast("long").alias("c_custkey"), "subject", F.col("suppression").isNotNull().alias("suppressed"))
+
+
 _TRUTH = ["sys.version_info >= (3, 0)", "sys.version_info < (3, 0)", "unknown"]
 _KLEENE = {"not_a": "NOT a", "a_and_b": "a AND b", "a_or_b": "a OR b"}
 

@@ -575,9 +575,10 @@ def _shape(name: str, text: str) -> Matcher:
 
 
 def _seal(registry: Registry) -> Registry:
+    """With the revision: the digest of everything that the registry says, coverage included."""
     validate(registry)
-    body = [[r.id, r.title, r.subject, r.contexts, r.events, [vars(m) for m in r.matchers], r.remediation, r.sources, r.tags, r.aliases] for r in registry.rules]
-    registry.revision = hashlib.sha256(json.dumps([registry.release, registry.releases, body], sort_keys=True).encode()).hexdigest()
+    body = [vars(r) | {"matchers": [vars(m) for m in r.matchers]} for r in registry.rules]
+    registry.revision = hashlib.sha256(json.dumps([registry.release, registry.releases, body, registry.coverage], sort_keys=True, default=str).encode()).hexdigest()
     return registry
 
 

@@ -115,6 +115,30 @@ def test_coverage(tmp_path, text, says):
         assert "implemented: 1" in shown and "partial: 0" in shown and "covered rules: 1" in shown
 
 
+def test_any_field_changes_the_revision(tmp_path):
+    def revision(rule=RULE, text=COVERAGE, index=""):
+        registry_at(tmp_path, rule)
+        (tmp_path / "index.yaml").write_text('schema_version: 1\nrelease: "1"\nreleases: r.yaml\nrules: [a.yaml]\ncoverage: [c.yaml]\n')
+        (tmp_path / "c.yaml").write_text(text)
+        return R.load(str(tmp_path)).revision
+
+    changes = [("old}", "older}"), ('"t"', '"u"'), ("kind: module, name", "kind: function, name"), ("released", "scheduled"), ("[runtime]", "[typing]"), ("[stdlib]", "[other]"), ("[OLD]", "[ELD]"), ("min_positional_args: 1", "min_positional_args: 2"), ('"go"', '"stay"'), ("on_deprecation: deprecated", "on_deprecation: risk")]
+    seen = [revision(), revision(text=COVERAGE.replace('"no"', '"yes"')), revision(text=COVERAGE.replace("title: S", "title: T")), *(revision(RULE.replace(a, b, 1)) for a, b in changes)]
+    assert len(set(seen)) == len(seen) and revision() == seen[0]
+
+
+@pytest.mark.parametrize("bad,says", [
+    (COVERAGE.replace("not-applicable, note", "not-applicable, rules: [CPY9001], note"), "may not name rules"), (COVERAGE.replace(', note: "no"', ""), "needs a note"), (COVERAGE.replace("[CPY9001]", "[CPY9001, CPY9001]"), "more than once"),
+    (COVERAGE.replace("source_key: two", "source_key: one"), "more than once"), (COVERAGE.replace("implemented, rules: [CPY9001]", 'duplicate, note: "x"'), "names no rule"),
+])
+def test_dispositions(tmp_path, bad, says):
+    registry_at(tmp_path)
+    (tmp_path / "index.yaml").write_text('schema_version: 1\nrelease: "1"\nreleases: r.yaml\nrules: [a.yaml]\ncoverage: [c.yaml]\n')
+    (tmp_path / "c.yaml").write_text(bad)
+    with pytest.raises(R.RegistryError, match=says):
+        R.load(str(tmp_path))
+
+
 def test_registry_stays_in_its_folder(tmp_path):
     (tmp_path / "in").mkdir()
     registry_at(tmp_path / "in")
