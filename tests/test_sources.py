@@ -128,7 +128,7 @@ def test_any_field_changes_the_revision(tmp_path):
 
 
 @pytest.mark.parametrize("bad,says", [
-    (COVERAGE.replace("not-applicable, note", "not-applicable, rules: [CPY9001], note"), "may not name rules"), (COVERAGE.replace(', note: "no"', ""), "needs a note"), (COVERAGE.replace("[CPY9001]", "[CPY9001, CPY9001]"), "more than once"),
+    (COVERAGE.replace("not-applicable, note", "not-applicable, rules: [CPY9001], note"), "may not name rules"), (COVERAGE.replace(', note: "no"', ""), "needs a note"), (COVERAGE.replace("[CPY9001]", "[CPY9001, CPY9001]"), "twice"),
     (COVERAGE.replace("source_key: two", "source_key: one"), "more than once"), (COVERAGE.replace("implemented, rules: [CPY9001]", 'duplicate, note: "x"'), "names no rule"),
 ])
 def test_dispositions(tmp_path, bad, says):
