@@ -24,14 +24,54 @@ def fingerprint(*fields: Column | str, namespace: str = NAMESPACE) -> Column:
     return F.sha2(F.concat_ws(NUL, F.lit(namespace), *[F.coalesce((F.col(f) if isinstance(f, str) else f).cast("string"), F.lit("")) for f in fields]), 256)
 
 
-def mask(versions: str) -> Column:
-    """A set of minor versions below 63 as the bits of a number."""
-    return F.expr(f"aggregate({versions}, 0L, (m, v) -> m | shiftleft(1L, v))")
+#: A set of minor versions is the bits of a number, so versions stay below this.
+WIDTH = 63
+#: Impacts, the worst first.
+IMPACTS = ("breaking", "risk", "deprecated", "informational")
 
 
-def unmask(bits: str) -> Column:
-    """The minor versions of such a number, in order."""
-    return F.expr(f"filter(sequence(0, 62), v -> {bits} & shiftleft(1L, v) <> 0)")
+def held(versions) -> int:
+    """The number that a set of versions known beforehand is."""
+    if any(not 0 <= v < WIDTH for v in versions):
+        raise ValueError(f"versions must lie between 0 and {WIDTH - 1}")
+    return sum({1 << v for v in versions})
+
+
+def bit(version: str) -> str:
+    return f"shiftleft(1L, cast({version} as int))"
+
+
+def lowest(bits: str) -> str:
+    """The least version of a set; of the empty set it has no meaning."""
+    return f"cast(bit_count((({bits}) & -({bits})) - 1) as int)"
+
+
+def members(bits: str) -> str:
+    """The versions of a set, in order: only those between its least and its greatest are looked at."""
+    none = "cast(array() as array<int>)"
+    return f"if(({bits}) = 0, {none}, filter(sequence({lowest(bits)}, least({WIDTH - 1}, cast(log2({bits}) as int) + 1)), v -> ({bits}) & shiftleft(1L, v) <> 0))"
+
+
+def runs(bits: str) -> str:
+    """Runs of consecutive versions of a set (from, through): the k-th bit with none below it begins the run that the k-th with none above it ends."""
+    first, last = members(f"({bits}) & ~shiftleft(({bits}), 1)"), members(f"({bits}) & ~shiftright(({bits}), 1)")
+    return f"zip_with({first}, {last}, (a, b) -> named_struct('from', a, 'through', b))"
+
+
+def phases(events: str, versions) -> Column:
+    """The states of a timeline (state, bits), the worst first, each with those of the versions at which it is the last event's."""
+    each = [f"named_struct('state', '{i}', 'bits', " + " | ".join(f"if(try_element_at(filter({events}, e -> e.py <= {v}), -1).impact = '{i}', {1 << v}L, 0L)" for v in sorted(set(versions))) + ")" for i in IMPACTS]
+    return F.expr(f"filter(array({', '.join(each)}), x -> x.bits <> 0)")
+
+
+def within(phases: str, bits: str) -> Column:
+    """Those states that some version of a set has, with these versions."""
+    return F.expr(f"filter(transform({phases}, p -> named_struct('state', p.state, 'bits', p.bits & {bits})), x -> x.bits <> 0)")
+
+
+def spans(states: str) -> Column:
+    """Runs of versions of equal state (from, through, state), in order, of states with their versions."""
+    return F.expr(f"array_sort(flatten(transform({states}, p -> transform({runs('p.bits')}, r -> named_struct('from', r.from, 'through', r.through, 'state', p.state)))))")
 
 
 def as_of(events: str, at: str, value: str = "impact", key: str = "py") -> Column:

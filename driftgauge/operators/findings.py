@@ -26,19 +26,19 @@ def strongest(matches: DataFrame) -> DataFrame:
 
     Strength is confidence, then kind; of equals the one first in (kind, seq) order stays. Matches of a place that have the same kinds of
     evidence are folded first, as the strongest of them has it all: what is then put in order for a place is as many as there are
-    such sets, however often it was matched. Versions and contexts are bits meanwhile.
+    such sets, however often it was matched. Versions (reach) are bits, and so are contexts meanwhile.
     """
     one = F.struct((-F.expr(CONF)).alias("c"), (-F.expr(KIND)).alias("p"), "kind", "seq", "confidence", "scope", F.map_entries("evidence").alias("evidence"))
     keys = ["path", "rule_id", "subject", "sl", "sc", "el", "ec"]
     context = sum((F.when(F.array_contains("ctx", c), 1 << n).otherwise(0) for n, c in enumerate(CONTEXTS)), F.lit(0))
     held = F.array_join(F.array_sort(F.map_keys("evidence")), ",")
-    got = matches.withColumns({"held": held, "bits": E.mask("reach"), "places": context}).groupBy(*keys, "held").agg(F.min(one).alias("one"), F.min(F.struct("kind", "seq")).alias("first"), F.bit_or("bits").alias("bits"), F.bit_or("places").alias("places"))
-    got = got.groupBy(*keys).agg(F.array_sort(F.collect_list("one")).alias("all"), F.min("first").alias("first"), F.bit_or("bits").alias("bits"), F.bit_or("places").alias("places"))
+    got = matches.withColumns({"held": held, "places": context}).groupBy(*keys, "held").agg(F.min(one).alias("one"), F.min(F.struct("kind", "seq")).alias("first"), F.bit_or("reach").alias("reach"), F.bit_or("places").alias("places"))
+    got = got.groupBy(*keys).agg(F.array_sort(F.collect_list("one")).alias("all"), F.min("first").alias("first"), F.bit_or("reach").alias("reach"), F.bit_or("places").alias("places"))
     merged = F.expr("aggregate(all, cast(map() as map<string,array<string>>), (acc, x) -> map_concat(acc, map_filter(map_from_entries(x.evidence), (k, v) -> not map_contains_key(acc, k))))")
     top = F.col("all")[0]
     evidence = F.when(F.size("all") == 1, F.map_from_entries(top["evidence"])).otherwise(merged)
     contexts = F.array_compact(F.array(*[F.when(F.col("places").bitwiseAND(1 << n) != 0, c) for n, c in enumerate(CONTEXTS)]))
-    return got.select(*keys, E.unmask("bits").alias("reach"), contexts.alias("ctx"), top["kind"].alias("kind"), top["confidence"].alias("confidence"), top["scope"].alias("scope"), evidence.alias("evidence"), "first")
+    return got.select(*keys, "reach", contexts.alias("ctx"), top["kind"].alias("kind"), top["confidence"].alias("confidence"), top["scope"].alias("scope"), evidence.alias("evidence"), "first")
 
 
 def with_ordinal(matches: DataFrame, namespace: str = E.NAMESPACE) -> DataFrame:
@@ -51,20 +51,20 @@ def with_ordinal(matches: DataFrame, namespace: str = E.NAMESPACE) -> DataFrame:
 def findings(matches: DataFrame, rules: DataFrame, versions: list[int], minimum: str = "high", show_unscheduled: bool = True, namespace: str = E.NAMESPACE) -> DataFrame:
     """Findings before suppression. Filters come after the ordinal, so they don't move fingerprints."""
     low = {"low": 0, "medium": 1, "high": 2}[minimum]
-    policy = F.array(*map(F.lit, versions))
+    policy = E.held(versions)
     # one exchange: the merge and the ordinals both group by path and more
     out = with_ordinal(strongest(matches.repartition("path")), namespace).where(f"{CONF} >= {low}")
-    side = F.broadcast(rules.select("rule_id", "title", "events", "remediation", "deprecated_only", "has_removal", F.col("contexts").alias("rule_contexts")))
-    out = out.join(side, "rule_id").withColumn("usage_contexts", F.array_sort(F.array_intersect("rule_contexts", "ctx"))).where("size(usage_contexts) > 0")
-    out = out.withColumn("reachable", F.array_sort(F.array_intersect("reach", policy)))
-    out = out.withColumn("states", E.ranges(f"filter(transform(reachable, v -> struct(v, try_element_at(filter(events, e -> e.py <= v), -1).impact as state)), x -> x.state is not null)")).where("size(states) > 0")
+    # what each rule's state is at each version is settled on the rules' side; a finding only cuts it to what it can reach
+    side = rules.select("rule_id", "title", "events", E.phases("events", versions).alias("phases"), "remediation", "deprecated_only", "has_removal", F.col("contexts").alias("rule_contexts"))
+    out = out.join(F.broadcast(side), "rule_id").withColumn("usage_contexts", F.array_sort(F.array_intersect("rule_contexts", "ctx"))).where("size(usage_contexts) > 0")
+    out = out.withColumn("held", E.within("phases", "reach")).where("size(held) > 0")
+    out = out.withColumns({"reachable": F.expr(E.members(f"reach & {policy}L")), "states": E.spans("held")})
     out = out.withColumn("removal_unscheduled", F.expr("exists(events, e -> e.event = 'deprecated') and not has_removal"))
     if not show_unscheduled:
         out = out.where("not (removal_unscheduled and deprecated_only)")
-    out = out.withColumn("impact", F.expr(f"array_max(transform(states, s -> struct({E.rank('s.state')} as rank, s.state))).state"))
-    out = out.withColumn("action_version", F.expr("array_min(transform(filter(states, s -> s.state = impact), s -> s.from))"))
+    out = out.withColumns({"impact": F.expr("held[0].state"), "action_version": F.expr(E.lowest("held[0].bits"))})
     out = out.withColumn("timeline", F.expr(f"filter(events, e -> e.py <= {max(versions)})"))
-    return out.drop("events", "deprecated_only", "has_removal", "rule_contexts", "reach", "ctx", "first")
+    return out.drop("events", "deprecated_only", "has_removal", "rule_contexts", "reach", "ctx", "first", "phases", "held")
 
 
 def directive_rules(parsed: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import exprs as E
 
-COMMON = "seq:int,sl:int,sc:int,el:int,ec:int,scope:string,reach:array<int>,ctx:array<string>"
+COMMON = "seq:int,sl:int,sc:int,el:int,ec:int,scope:string,reach:bigint,ctx:array<string>"
 R = "sl:int,sc:int,el:int,ec:int"
 NAMES = "names:array<struct<name:string,source:string>>"
 LIT = "resolved:boolean,type:string,value:string"
-#: Uses: i import, r reference, c call (at its function), d literal dynamic import, u unary pattern.
+#: Sets of versions (reach, active) are the bits of a number. Uses: i import, r reference, c call (at its function), d literal dynamic import, u unary pattern.
 PARSED = f"""path string, status string,
 facts array<struct<use:string,{COMMON},{NAMES},module:string,pattern:string,syntax:string,bound_names:array<string>,ref_ctx:string,positional:array<struct<{LIT}>>,keywords:array<struct<name:string,{LIT}>>,star:boolean,star_star:boolean,repeated:boolean>>,
-patches array<struct<{R},active:array<int>>>,
+patches array<struct<{R},active:bigint>>,
 directives array<struct<seq:int,ids:array<string>,reason:string,line:int,col:int,statement:struct<{R}>>>,
 diagnostics array<struct<code:string,message:string,{R}>>"""
 #: Matcher kind -> the use that it looks at.
@@ -56,7 +56,7 @@ def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = f
         for batch in frames:
             for at in range(0, batch.num_rows, STEP):  # the facts of a few files at a time
                 some = batch.slice(at, STEP)
-                rows = [flat(extract(p.as_py(), s.as_py() or "", window, blocked, tool)) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
+                rows = [flat(extract(p.as_py(), s.as_py() or "", window, blocked, tool, packed=True)) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path", "source").mapInArrow(run, schema)
@@ -123,6 +123,6 @@ def match(parsed: DataFrame, rules: DataFrame, matchers: DataFrame, modules: Dat
     shown = F.when(named, F.col("name")).otherwise(F.col("module"))
     message = F.concat(F.lit("did not classify "), says[use], F.lit(" "), shown, F.lit(" as standard library because a competing project module exists"))
     about = F.create_map(F.lit("candidate_paths"), F.col("candidates"), F.when(named, "qualified_name").otherwise("imported_module"), F.array(shown), F.lit("resolution"), _one("competing-project-module"), F.lit("source_roots"), roots)
-    lost = met.join(modules.withColumnRenamed("key", "top"), "top").select("use", "path", "sl", "sc", "el", "ec", F.lit("PYA2001").alias("code"), F.lit("module-resolution").alias("kind"), message.alias("message"), about.alias("evidence"), F.lit(None).cast("array<int>").alias("active"))
+    lost = met.join(modules.withColumnRenamed("key", "top"), "top").select("use", "path", "sl", "sc", "el", "ec", F.lit("PYA2001").alias("code"), F.lit("module-resolution").alias("kind"), message.alias("message"), about.alias("evidence"), F.lit(None).cast("bigint").alias("active"))
     lost = lost.dropDuplicates(["use", "path", "sl", "sc", "el", "ec", "message"]).drop("use")
     return kept, lost.unionByName(guard)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgauge.functions import exprs as E
 from driftgauge.operators import findings as G
 from driftgauge.operators import ignores as I
 from driftgauge.operators import match as M
@@ -113,8 +114,7 @@ def scan_frame(
     found = G.suppress(found, directives, spark.createDataFrame(rows, "rule_id string, regex string, pattern string, place int"))
     known = spark.createDataFrame([(x,) for x in baseline], "fingerprint string") if baseline is not None else None
     found = G.with_baseline(found, known)
-    active = F.array(*map(F.lit, config.versions))
-    inferences = inferences.where(F.col("active").isNull() | F.arrays_overlap("active", active)).drop("active")
+    inferences = inferences.where(F.col("active").isNull() | (F.col("active").bitwiseAND(E.held(config.versions)) != 0)).drop("active")
     diagnostics = parsed.select("path", F.explode("diagnostics").alias("d")).select("path", "d.*")
     place = [F.lit(None).cast("int").alias(c) for c in ("sl", "sc", "el", "ec")]
     fixed = spark.createDataFrame(faults, DIAGNOSTICS)

@@ -75,6 +75,17 @@ def literal(node: ast.AST) -> tuple[bool, str, str]:
     return False, "", ""
 
 
+def bits(versions) -> int:
+    """A set of minor versions as the bits of a number."""
+    return sum({1 << v for v in versions})
+
+
+def minors(held: int) -> list[int]:
+    """The minor versions of such a number, in order."""
+    return [v for v in range(held.bit_length()) if held >> v & 1]
+
+
+# The truth of a guard at one version; Guards keeps that of all versions as two sets, which obey the same tables.
 def t_not(x):
     return None if x is None else not x
 
@@ -88,10 +99,13 @@ def t_or(a, b):
 
 
 class Guards:
-    """Three-valued evaluation of version and typing guards; True, False, or None for unknown."""
+    """Three-valued evaluation of version and typing guards, for all versions at once.
 
-    def __init__(self, scopes: Scopes, blocked: frozenset[str]):
-        self.scopes, self.blocked = scopes, blocked
+    A truth is two sets of versions as bits, those where the guard is true and those where it is false; elsewhere it is unknown. A guard
+    is walked once, whatever the number of versions."""
+
+    def __init__(self, scopes: Scopes, blocked: frozenset[str], window: int):
+        self.scopes, self.blocked, self.window = scopes, blocked, minors(window)
 
     def is_name(self, node: ast.AST, name: str) -> bool:
         if isinstance(node, (ast.Call, ast.Subscript)) or resolve(self.scopes, node) != {(name, IMPORT)}:
@@ -113,67 +127,62 @@ class Guards:
         v = tuple(e.value for e in node.elts)
         return (v if len(v) == 2 else None), len(v) > 2
 
-    def compare(self, node: ast.Compare, minor: int) -> tuple[bool | None, bool]:
+    def compare(self, node: ast.Compare) -> tuple[int, int, bool]:
         if len(node.ops) != 1:
-            return None, False
+            return 0, 0, False
         left, right = self.shape(node.left), self.shape(node.comparators[0])
         patch = "patch" in (left, right)
         if (left is None) == (right is None):
-            return None, patch
+            return 0, 0, patch
         value, long = self.version(node.comparators[0] if left else node.left)
         if patch or long:
-            return None, True
+            return 0, 0, True
         op = _COMPARE.get(type(node.ops[0]))
         if value is None or op is None:
-            return None, False
-        own = (3, minor, 0) if (left or right) == "plain" else (3, minor)
-        return (op(own, value) if left else op(value, own)), False
+            return 0, 0, False
+        rest = (0,) if (left or right) == "plain" else ()
+        met = {v: op((3, v, *rest), value) if left else op(value, (3, v, *rest)) for v in self.window}
+        return bits(v for v in met if met[v]), bits(v for v in met if not met[v]), False
 
-    def evaluate(self, node: ast.AST, minor: int) -> tuple[bool | None, bool]:
+    def evaluate(self, node: ast.AST) -> tuple[int, int, bool]:
+        """(where it is true, where it is false, whether a patch guard was met)."""
         if isinstance(node, ast.Compare):
-            return self.compare(node, minor)
+            return self.compare(node)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            truth, patch = self.evaluate(node.operand, minor)
-            return t_not(truth), patch
+            true, false, patch = self.evaluate(node.operand)
+            return false, true, patch
         if isinstance(node, ast.BoolOp):
-            join = t_and if isinstance(node.op, ast.And) else t_or
-            truth, patch = self.evaluate(node.values[0], minor)
+            true, false, patch = self.evaluate(node.values[0])
             for v in node.values[1:]:
-                t, p = self.evaluate(v, minor)
-                truth, patch = join(truth, t), patch or p
-            return truth, patch
-        return None, False
+                t, f, p = self.evaluate(v)
+                true, false = (true & t, false | f) if isinstance(node.op, ast.And) else (true | t, false & f)
+                patch = patch or p
+            return true, false, patch
+        return 0, 0, False
 
-    def split(self, test: ast.AST, versions: tuple[int, ...], contexts: frozenset[str]):
+    def split(self, test: ast.AST, versions: int, contexts: frozenset[str]):
         """((versions, contexts) of the true and of the false branch, whether a patch guard was met)."""
         polarity = None
         if self.is_name(test, TYPE_CHECKING):
             polarity = True
         elif isinstance(test, ast.UnaryOp) and isinstance(test.op, ast.Not) and self.is_name(test.operand, TYPE_CHECKING):
             polarity = False
-        mixed = polarity is None and any(isinstance(n, (ast.Name, ast.Attribute)) and self.is_name(n, TYPE_CHECKING) for n in ast.walk(test))
-        yes, no, patch = [], [], False
-        for v in versions:
-            truth, p = self.evaluate(test, v)
-            patch = patch or p
-            truth = None if mixed else truth
-            if truth is not False:
-                yes.append(v)
-            if truth is not True:
-                no.append(v)
-        if polarity is None:
-            return (tuple(yes), contexts), (tuple(no), contexts), patch
-        a, b = ("typing", "runtime") if polarity else ("runtime", "typing")
-        return (tuple(yes), contexts & {a}), (tuple(no), contexts & {b}), patch
+        if polarity is not None:
+            a, b = ("typing", "runtime") if polarity else ("runtime", "typing")
+            return (versions, contexts & {a}), (versions, contexts & {b}), False
+        true, false, patch = self.evaluate(test)
+        if true | false and any(isinstance(n, (ast.Name, ast.Attribute)) and self.is_name(n, TYPE_CHECKING) for n in ast.walk(test)):
+            true = false = 0
+        return (versions & ~false, contexts), (versions & ~true, contexts), patch and versions != 0
 
 
 class Extractor(Walk):
     """Facts of a tree. Places are taken only for what is kept, regions of statements only where directives need them."""
 
-    def __init__(self, source: str, tree: ast.Module, window: tuple[int, ...], contexts: frozenset[str], blocked: frozenset[str], places: bool = True):
+    def __init__(self, source: str, tree: ast.Module, window: int, contexts: frozenset[str], blocked: frozenset[str], places: bool = True):
         self.lines = [x.encode("utf-8") for x in re.split(r"\r\n|\r|\n", source)]
         self.scopes, self.places = Scopes(tree, "global" in source or "nonlocal" in source), places
-        self.guards = Guards(self.scopes, blocked)
+        self.guards = Guards(self.scopes, blocked, window)
         self.reach, self.ref_ctx, self.seq = (window, contexts), "read", 0
         self.imports, self.refs, self.calls, self.unary, self.patches, self.regions = [], [], [], [], [], []
         self.visit(tree)
@@ -187,7 +196,7 @@ class Extractor(Walk):
     def common(self, node: ast.AST) -> dict:
         self.seq += 1
         scope = self.scopes.of.get(id(node)) or self.scopes.root
-        return {"seq": self.seq, **self.region(node), "scope": scope.label, "reach": list(self.reach[0]), "ctx": sorted(self.reach[1])}
+        return {"seq": self.seq, **self.region(node), "scope": scope.label, "reach": self.reach[0], "ctx": sorted(self.reach[1])}
 
     def statement(self, node: ast.stmt) -> None:
         self.regions.append(self.region(node))
@@ -270,7 +279,7 @@ class Extractor(Walk):
         self.visit(node.test)
         yes, no, patch = self.guards.split(node.test, *self.reach)
         if patch:
-            self.patches.append({**self.region(node.test), "active": list(self.reach[0])})
+            self.patches.append({**self.region(node.test), "active": self.reach[0]})
         was = self.reach
         self.reach = yes
         for n in node.body:
@@ -399,8 +408,9 @@ def directives(comments, regions: list[dict], tool: str = TOOL) -> tuple[list[di
     return out, faults
 
 
-def extract(path: str | None, source: str, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = TOOL) -> dict:
-    """All facts of one file; what cannot be parsed, or has no path, is a diagnostic, never an exception."""
+def extract(path: str | None, source: str, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = TOOL, packed: bool = False) -> dict:
+    """All facts of one file; what cannot be parsed, or has no path, is a diagnostic, never an exception. packed: sets of versions are
+    given as bits, not as lists."""
     out = {"path": path, "status": "parsed", "imports": [], "refs": [], "calls": [], "unary": [], "patches": [], "directives": [], "diagnostics": []}
     at = {"sl": 1, "sc": 1, "el": 1, "ec": 1}
     comments, regions = [], []
@@ -413,10 +423,12 @@ def extract(path: str | None, source: str, window: tuple[int, ...], blocked: fro
         tree = ast.parse(source)
         if tree_depth(tree) > MAX_TREE:
             raise TooDeep("syntax tree nesting exceeds the limit")
-        x = Extractor(source, tree, window, frozenset({"typing"}) if path.endswith(".pyi") else frozenset({"runtime"}), blocked, bool(comments))
+        x = Extractor(source, tree, bits(window), frozenset({"typing"}) if path.endswith(".pyi") else frozenset({"runtime"}), blocked, bool(comments))
         regions = x.regions
         for k in ("imports", "refs", "calls", "unary", "patches"):
             out[k] = getattr(x, k)
+            for fact in out[k] if not packed else ():
+                fact.update({c: minors(fact[c]) for c in ("reach", "active") if c in fact})
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         out["status"] = "incomplete"
         line, col = getattr(e, "lineno", None) or 1, getattr(e, "offset", None) or 1

@@ -125,7 +125,7 @@ def scan_order(spark, sf_dir):
     return f.select("action_version", "impact", "rule_id", "path", "line", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query(found_sql("documents", "doc_id", "SELECT path, rule_id, line, ordinal FROM found WHERE t <> 0 OR true ORDER BY action_version, impact, rule_id, string_split(path, '/'), line, ordinal LIMIT 200").replace("WHERE t <> 0 OR true ", ""))
+@query(found_sql("documents", "doc_id", "SELECT path, rule_id, line, ordinal FROM found ORDER BY action_version, impact, rule_id, string_split(path, '/'), line, ordinal LIMIT 200"))
 def scan_first(spark, sf_dir):
     """A report's first 200 findings: by version, impact as text, rule, path part by part, and place."""
     found = G.ordered(scanned(spark, table(spark, sf_dir, "documents"), "doc_id").findings).limit(200)
@@ -164,10 +164,11 @@ def asof_state(spark, sf_dir):
 i AS (SELECT *, v - row_number() OVER (PARTITION BY user_id, state ORDER BY v) AS island FROM d)
 SELECT user_id, min(v) AS from_day, max(v) AS through_day, state FROM i GROUP BY user_id, state, island""")
 def state_ranges(spark, sf_dir):
-    """Runs of consecutive days of one state, folded within the row."""
+    """Runs of consecutive days of one state. Days are the bits of a number, so tasks combine them before they are sent, and runs are
+    found by bit operations."""
     e = table(spark, sf_dir, "events").groupBy("user_id", F.dayofmonth("ts").alias("v")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    e = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("v", "state"))).alias("points"))
-    return e.select("user_id", F.explode(E.ranges("points")).alias("r")).select("user_id", F.col("r.from").alias("from_day"), F.col("r.through").alias("through_day"), "r.state")
+    e = e.groupBy("user_id", "state").agg(F.bit_or(F.expr(E.bit("v"))).alias("days"))
+    return e.select("user_id", "state", F.expr(f"inline({E.runs('days')})").alias("from_day", "through_day"))
 
 
 _LINES = """SELECT l_orderkey::VARCHAR AS path, (l_suppkey % 3)::VARCHAR AS rule_id, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS confidence,
@@ -181,9 +182,9 @@ def dedupe_strongest(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").selectExpr(
         "cast(l_orderkey as string) as path", "cast(l_suppkey % 3 as string) as rule_id", "cast(l_linenumber as int) as seq",
         "case l_returnflag when 'R' then 'high' when 'A' then 'medium' else 'low' end as confidence", "case l_linestatus when 'O' then 'module-import' else 'call-shape' end as kind",
-        "array(11 + cast(l_linenumber as int) % 3) as reach", "cast(l_partkey as string) as scope", "array('runtime') as ctx", "map('quantity', array(cast(cast(l_quantity as int) as string))) as evidence", "'x' as subject", "1 as sl", "1 as sc", "1 as el", "2 as ec")
+        E.bit("11 + l_linenumber % 3") + " as reach", "cast(l_partkey as string) as scope", "array('runtime') as ctx", "map('quantity', array(cast(cast(l_quantity as int) as string))) as evidence", "'x' as subject", "1 as sl", "1 as sc", "1 as el", "2 as ec")
     out = G.strongest(lines)
-    return out.select("path", "rule_id", "kind", "confidence", "scope", F.array_join(F.col("reach").cast("array<string>"), ",").alias("reach"), F.col("first.seq").cast("long").alias("first_seq"), F.col("evidence")["quantity"][0].alias("quantity"))
+    return out.select("path", "rule_id", "kind", "confidence", "scope", F.array_join(F.expr(E.members("reach")).cast("array<string>"), ",").alias("reach"), F.col("first.seq").cast("long").alias("first_seq"), F.col("evidence")["quantity"][0].alias("quantity"))
 
 
 @query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts)::BIGINT, event_id) - 1 AS ordinal FROM events)
@@ -492,7 +493,7 @@ def guard_truth(spark, sf_dir):
     text = {"not_a": F.concat(F.lit("not ("), a, F.lit(")")), "a_and_b": F.concat(a, F.lit(" and "), b), "a_or_b": F.concat(a, F.lit(" or "), b)}
     source = F.concat(F.lit("import sys\n"), *[x for n, t in text.items() for x in (F.lit("if "), t, F.lit(f":\n    import yes_{n}\nelse:\n    import no_{n}\n"))])
     files = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), source.alias("source"))
-    met = M.facts(M.parse(files, (11, 12)), "facts").where("use = 'i' and module <> 'sys'").select("path", F.split("module", "_", 2).alias("part"), (F.size("reach") > 0).alias("may"))
+    met = M.facts(M.parse(files, (11, 12)), "facts").where("use = 'i' and module <> 'sys'").select("path", F.split("module", "_", 2).alias("part"), (F.col("reach") != 0).alias("may"))
     may = met.groupBy("path", F.col("part")[1].alias("guard")).agg(*[F.bool_or(F.when(F.col("part")[0] == x, F.col("may"))).alias(x) for x in ("yes", "no")])
     truth = F.when(F.col("yes") & F.col("no"), "unknown").when(F.col("yes"), "true").otherwise("false")
     return may.select(F.col("path").cast("long").alias("event_id"), "guard", truth.alias("truth"))
