@@ -14,7 +14,8 @@ shingles, and each of its sets has at most floor((1 - t) * n) shingles that the
    search in the long lists, and those that reach T are links. A set whose component already spans
    the block's largest one needs no search of its own: links are found from their other end.
 5. A block of more than BLOCK sets is cut into chunks, each with the block's leader; sets not linked
-   to the leader are then searched in all other chunks. No pair is left out, no list cut.
+   to the leader are then searched in all other chunks, in slices, so that a task holds about BLOCK
+   sets of a chunk and BLOCK others, however many there are. No pair is left out, no list cut.
 
 Equal sets are one node, so copies are never expanded. Null, empty and blank texts have an empty
 set and link with nothing; a text of fewer than K words has its whole sequence as one shingle. Rows
@@ -390,12 +391,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         wide = blocks.join(large, "component")
         led = wide.join(near.withColumnRenamed("component", "own"), "node", "left").select("node", "component", "chunks", F.coalesce("own", "node").alias("own"))
         leader = led.where("node = component").select("component", F.col("own").alias("main"))
-        rest = led.join(leader, "component").where("own <> main").join(sets, F.col("node") == F.col("sid"))
+        rest = led.join(leader, "component").where("own <> main")
+        rest = checkpoint(rest.select("component", "node", "chunks"))
+        cuts = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("slices"))  # only blocks with such sets
         home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        away = rest.select(F.col("component").alias("block"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sid", "items", F.lit(True).alias("far"))
+        away = rest.join(cuts, "component").join(sets, F.col("node") == F.col("sid")).select(F.col("component").alias("block"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("slices")).cast("int").alias("slice"), "sid", "items", F.lit(True).alias("far"))
         away = away.where("home <> chunk").drop("home")
-        here = inside.join(large, F.col("block") == F.col("component"), "left_semi").drop("chunks")
-        more = here.unionByName(away).groupBy(keyed.alias("key")).applyInArrow(lean(_search(threshold)), "a long, b long")
+        here = inside.join(cuts, F.col("block") == F.col("component")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*away.columns)
+        more = here.unionByName(away).groupBy("block", "chunk", "slice").applyInArrow(lean(_search(threshold)), "a long, b long")
         links = links.union(more)
     reach = components(links)
     info = made.where("kind = 0").select("id", "n", "sid")

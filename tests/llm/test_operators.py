@@ -58,6 +58,25 @@ def test_jaccard_large_block(spark):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_many_slices(spark):
+    """A block that a phrase joins, of many chunks, whose sets off the leader come in many slices: every link across chunks is found."""
+    import random
+
+    rng = random.Random(11)
+    phrase = [f"p{i}" for i in range(9)]
+    texts = []
+    for g in range(70):
+        body = [f"g{g}w{rng.randrange(9)}" for _ in range(40)]
+        for k in range(rng.randrange(1, 4)):
+            own = list(body)
+            own[3] = f"x{g}k{k}" if rng.random() < 0.5 else own[3]
+            texts.append(" ".join(phrase + own))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), block=6).collect()}
+    assert got == brute.jaccard(rows) and 60 < len({c for _, c in got.values()}) < len(rows)
+
+
 def test_jaccard_messy(messy):
     got = jaccard.join(messy).collect()
     assert len(got) == len(TEXTS) + 2
