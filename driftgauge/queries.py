@@ -351,29 +351,36 @@ def _rule_values() -> str:
     return ", ".join(f"('{r.id}', '{r.subject_kind}', '{r.subject}', {r.events[0][1]}, {r.events[-1][1]}, {len(r.events)}, {str(any(e[0] == 'removed' for e in r.events)).lower()})" for r in R.load().rules)
 
 
-_REG = f"WITH r(rule_id, kind, subject, first_py, last_py, n_events, removed) AS (VALUES {_rule_values()}) "
+#: the rules, and how often a scan of the parts' files meets each
+_REG = found_sql("part", "p_partkey", f", r(rule_id, kind, subject, first_py, last_py, n_events, removed) AS (VALUES {_rule_values()}), m AS (SELECT rule_id, count(*) AS n_findings, count(DISTINCT path) AS n_files FROM found GROUP BY rule_id), q AS (SELECT r.*, coalesce(n_findings, 0) AS n_findings, coalesce(n_files, 0) AS n_files FROM r LEFT JOIN m USING (rule_id)) ")
 
 
-@query(_REG + "SELECT * FROM r")
-def registry_rules(spark, sf_dir):
-    r = R.rules_frame(spark, R.load())
-    return r.select("rule_id", F.col("subject_kind").alias("kind"), "subject", F.col("events")[0]["py"].alias("first_py"), F.element_at("events", -1)["py"].alias("last_py"), F.size("events").alias("n_events"), F.col("has_removal").alias("removed"))
+def _met(spark, sf_dir) -> DataFrame:
+    """The bundled registry's rules with n_findings and n_files of one made file for each part; rules that nothing meets have zeros."""
+    n = scanned(spark, table(spark, sf_dir, "part"), "p_partkey").findings.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("path").alias("n_files"))
+    return R.rules_frame(spark, R.load()).join(n, "rule_id", "left").fillna(0, ["n_findings", "n_files"])
 
 
-@query(_REG + "SELECT kind, count(*) AS n, count(*) FILTER (WHERE removed) AS n_removed, min(first_py) AS first_py, max(last_py) AS last_py FROM r GROUP BY kind")
-def registry_coverage(spark, sf_dir):
-    r = R.rules_frame(spark, R.load())
-    return r.groupBy(F.col("subject_kind").alias("kind")).agg(F.count("*").alias("n"), F.count_if("has_removal").alias("n_removed"), F.min(F.col("events")[0]["py"]).alias("first_py"), F.max(F.element_at("events", -1)["py"]).alias("last_py"))
+@query(_REG + "SELECT * FROM q")
+def registry_rules(spark, sf_dir):
+    """Every rule with its timeline's ends and what a scan finds of it."""
+    first, last = F.col("events")[0]["py"], F.element_at("events", -1)["py"]
+    return _met(spark, sf_dir).select("rule_id", F.col("subject_kind").alias("kind"), "subject", first.alias("first_py"), last.alias("last_py"), F.size("events").alias("n_events"), F.col("has_removal").alias("removed"), "n_findings", "n_files")
 
 
+@query(_REG + "SELECT kind, count(*) AS n, count(*) FILTER (WHERE removed) AS n_removed, min(first_py) AS first_py, max(last_py) AS last_py, count(*) FILTER (WHERE n_findings > 0) AS n_met, sum(n_findings)::BIGINT AS n_findings FROM q GROUP BY kind")
+def registry_coverage(spark, sf_dir):
+    """Rules by kind of subject, and how many of them a scan meets."""
+    r = _met(spark, sf_dir)
+    return r.groupBy(F.col("subject_kind").alias("kind")).agg(F.count("*").alias("n"), F.count_if("has_removal").alias("n_removed"), F.min(F.col("events")[0]["py"]).alias("first_py"), F.max(F.element_at("events", -1)["py"]).alias("last_py"), F.count_if(F.expr("n_findings > 0")).alias("n_met"), F.sum("n_findings").alias("n_findings"))
 
 
-@query(_REG + ", v(v) AS (VALUES " + ", ".join(f"({v})" for v in range(11, 17)) + "), s AS (SELECT v, rule_id, CASE WHEN removed AND v >= last_py THEN 'removed' WHEN v >= first_py THEN 'deprecated' END AS state FROM r, v WHERE n_events = 2 AND removed) SELECT v, state, count(*) AS n FROM s WHERE state IS NOT NULL GROUP BY ALL")
+@query(_REG + ", v(v) AS (VALUES " + ", ".join(f"({v})" for v in range(11, 17)) + "), s AS (SELECT v, n_findings, CASE WHEN removed AND v >= last_py THEN 'removed' WHEN v >= first_py THEN 'deprecated' END AS state FROM q, v WHERE n_events = 2 AND removed) SELECT v, state, count(*) AS n, sum(n_findings)::BIGINT AS n_findings FROM s WHERE state IS NOT NULL GROUP BY ALL")
 def registry_forecast(spark, sf_dir):
-    """How many deprecate-then-remove rules are in each state at each version of the window."""
-    r = R.rules_frame(spark, R.load()).where("size(events) = 2 and has_removal")
-    s = r.withColumn("v", F.explode(F.sequence(F.lit(11), F.lit(16)))).select("v", E.as_of("events", "v", "event").alias("state")).where("state is not null")
-    return s.groupBy("v", "state").agg(F.count("*").alias("n"))
+    """How many deprecate-then-remove rules are in each state at each version of the window, and how many findings are theirs."""
+    r = _met(spark, sf_dir).where("size(events) = 2 and has_removal")
+    s = r.withColumn("v", F.explode(F.sequence(F.lit(11), F.lit(16)))).select("v", "n_findings", E.as_of("events", "v", "event").alias("state")).where("state is not null")
+    return s.groupBy("v", "state").agg(F.count("*").alias("n"), F.sum("n_findings").alias("n_findings"))
 
 
 @query("SELECT 'both' AS side, k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'customer', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
