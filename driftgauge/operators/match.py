@@ -25,8 +25,10 @@ diagnostics array<struct<code:string,message:string,{R}>>"""
 USES = {"module-import": "i", "qualified-reference": "r", "qualified-call": "c", "call-shape": "c", "literal-dynamic-import": "d", "builtin-pattern": "u"}
 #: What an inference says of a use.
 SAYS = {"i": "import of", "r": "reference to", "c": "reference to", "d": "dynamic import of"}
-#: Files whose facts a worker holds at once.
-STEP = 100
+#: Different files whose facts a worker makes at once, and the bytes of sources, copies included, that they may stand for.
+STEP, BYTES = 100, 4 << 20
+#: What one task is given to parse at most, where files are dealt: files, and bytes of their sources.
+TASK_FILES, TASK_BYTES = 2_000, 8 << 20
 BASE = ["path", "rule_id", "kind", "subject", "sl", "sc", "el", "ec", "scope", "seq", "reach", "ctx", "confidence", "evidence"]
 
 
@@ -41,8 +43,36 @@ def flat(out: dict) -> dict:
     return {"path": out["path"], "status": out["status"], "facts": facts, "patches": out["patches"], "directives": out["directives"], "diagnostics": out["diagnostics"]}
 
 
+def spread(files: DataFrame, size: F.Column | None = None, key: str = "path") -> DataFrame:
+    """The rows dealt by key to as many tasks as their number, and the sum of their sizes, ask for: a small table in one file may
+    stand for many files, and whoever reads it would parse them all in one task. Rows that one task can take stay where they are."""
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("long")).first()
+    tasks = max(-(-n // TASK_FILES), -(-total // TASK_BYTES))
+    return files if tasks < 2 else files.repartition(max(tasks, files.sparkSession.sparkContext.defaultParallelism), key)
+
+
+def groups(names: list, sources: list):
+    """(a, b) of runs of files: at most STEP different ones, and of at most BYTES in all or one file."""
+    a, size, seen = 0, 0, set()
+    for b, (name, source) in enumerate(zip(names, sources, strict=True)):
+        one = (same(name), source)
+        if b > a and (size + len(source) > BYTES or len(seen) == STEP and one not in seen):
+            yield a, b
+            a, size, seen = b, 0, set()
+        size += len(source)
+        seen.add(one)
+    if len(names) > a:
+        yield a, len(names)
+
+
+def same(path: str | None) -> str | None:
+    """What a file's facts take from its path: whether there is one, and whether it is a stub's."""
+    return path if path is None else path[-4:] if path.endswith(".pyi") else ""
+
+
 def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = frozenset(), tool: str = "driftgauge") -> DataFrame:
-    """files (path, source) to one row of facts each. The only Python of a scan; no shuffle."""
+    """files (path, source) to one row of facts each. The only Python of a scan; no shuffle. Equal sources that a task meets side by
+    side are parsed once."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -54,10 +84,18 @@ def parse(files: DataFrame, window: tuple[int, ...], blocked: frozenset[str] = f
         from driftgauge.pyparse.extract import extract
 
         for batch in frames:
-            for at in range(0, batch.num_rows, STEP):  # the facts of a few files at a time
-                some = batch.slice(at, STEP)
-                rows = [flat(extract(p.as_py(), s.as_py() or "", window, blocked, tool, packed=True)) for p, s in zip(some.column("path"), some.column("source"), strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            paths, sources = batch.column("path").to_pylist(), [s or "" for s in batch.column("source").to_pylist()]
+            for a, b in groups(paths, sources):  # the facts of a few files at a time
+                rows, at = [], {}
+                for p, s in zip(paths[a:b], sources[a:b], strict=True):
+                    if (same(p), s) not in at:
+                        at[same(p), s] = len(rows)
+                        rows.append(flat(extract(p, s, window, blocked, tool, packed=True)))
+                out = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                if len(rows) < b - a:
+                    out = out.take(pa.array([at[same(p), s] for p, s in zip(paths[a:b], sources[a:b], strict=True)], pa.int32()))
+                    out = out.set_column(0, arrow.field(0), pa.array(paths[a:b], arrow.field(0).type))
+                yield out
 
     return files.select("path", "source").mapInArrow(run, schema)
 

@@ -94,7 +94,8 @@ def scan_frame(
     spark: SparkSession, files: DataFrame, registry: R.Registry | None = None, config: C.Config | None = None, modules: dict[str, list[str]] | DataFrame | None = None, baseline: list[str] | None = None,
     issues: list[tuple] | DataFrame = (), namespace: str = G.E.NAMESPACE, cached: bool = True, plain: bool = False,
 ) -> Scan:
-    """Scan a frame of (path, source). Repeated paths are kept apart only by their facts; pass each once.
+    """Scan a frame of (path, source), whose rows are counted and dealt to tasks first. Repeated paths are kept apart only by their facts;
+    pass each once.
 
     modules: names that the project itself provides, as a dict or a frame of (key, path); issues: files that are not among them, as
     a list or a frame of (path, code, message); plain: the modules hold neither typing nor a link that could stand for any."""
@@ -103,7 +104,7 @@ def scan_frame(
     rules, matchers = R.rules_frame(spark, registry), R.matchers_frame(spark, registry)
     every = sorted({m.name.partition(".")[0] for r in registry.rules for m in r.matchers if m.kind != "builtin-pattern"} | {"importlib"})
     local, blocked = local_modules(spark, modules, every, plain)
-    parsed = M.parse(files, registry.window, blocked)
+    parsed = M.parse(M.spread(files, F.octet_length("source")), registry.window, blocked)
     if cached:
         parsed = parsed.persist()  # facts, guards, directives and diagnostics read it; without this each would parse again
     matches, inferences = M.match(parsed, rules, matchers, local, tuple(config.source_roots))
