@@ -499,11 +499,13 @@ def guard_truth(spark, sf_dir):
     a, b = F.element_at(guards, (F.col("event_id") % 3 + 1).cast("int")), F.element_at(guards, (F.expr("event_id div 3") % 3 + 1).cast("int"))
     text = {"not_a": F.concat(F.lit("not ("), a, F.lit(")")), "a_and_b": F.concat(a, F.lit(" and "), b), "a_or_b": F.concat(a, F.lit(" or "), b)}
     source = F.concat(F.lit("import sys\n"), *[x for n, t in text.items() for x in (F.lit("if "), t, F.lit(f":\n    import yes_{n}\nelse:\n    import no_{n}\n"))])
-    files = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), source.alias("source"))
-    met = M.facts(M.parse(files, (11, 12)), "facts").where("use = 'i' and module <> 'sys'").select("path", F.split("module", "_", 2).alias("part"), (F.col("reach") != 0).alias("may"))
-    may = met.groupBy("path", F.col("part")[1].alias("guard")).agg(*[F.bool_or(F.when(F.col("part")[0] == x, F.col("may"))).alias(x) for x in ("yes", "no")])
-    truth = F.when(F.col("yes") & F.col("no"), "unknown").when(F.col("yes"), "true").otherwise("false")
-    return may.select(F.col("path").cast("long").alias("event_id"), "guard", truth.alias("truth"))
+    events = M.spread(table(spark, sf_dir, "events").select("event_id"), key="event_id")
+    files = events.select(F.col("event_id").cast("string").alias("path"), source.alias("source"))
+    # a file's facts are one row, so what its branches are reached by is told within it
+    met = M.parse(files, (11, 12)).select("path", F.expr("filter(facts, f -> f.use = 'i' and f.module <> 'sys')").alias("met"))
+    may = met.select("path", "met", F.explode(F.array(*map(F.lit, text))).alias("guard")).where("exists(met, f -> f.module in (concat('yes_', guard), concat('no_', guard)))")
+    yes, no = (F.expr(f"exists(met, f -> f.module = concat('{x}_', guard) and f.reach != 0)") for x in ("yes", "no"))
+    return may.select(F.col("path").cast("long").alias("event_id"), "guard", F.when(yes & no, "unknown").when(yes, "true").otherwise("false").alias("truth"))
 
 
 def queries() -> dict:

@@ -72,3 +72,12 @@ def test_equal_sources_are_parsed_once(spark, monkeypatch):
 
     out = M.parse(Files(), (11, 12, 13))
     assert sum(b.num_rows for b in out) == 900 and len(calls) == 3
+
+
+def test_guard_truth_of_many_events(spark, tmp_path):
+    """In many tasks, without an exchange behind the parser, and with rows for each event where ids repeat, as the SQL has it."""
+    ship(spark)
+    spark.range(MANY).union(spark.range(3)).coalesce(1).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = Q.guard_truth(spark, str(tmp_path))
+    assert len(sizes(got)) >= 3
+    assert got.count() == 3 * (MANY + 3) and got.where("event_id = 1").count() == 6
