@@ -43,12 +43,13 @@ def flat(out: dict) -> dict:
     return {"path": out["path"], "status": out["status"], "facts": facts, "patches": out["patches"], "directives": out["directives"], "diagnostics": out["diagnostics"]}
 
 
-def spread(files: DataFrame, size: F.Column | None = None, key: str = "path") -> DataFrame:
+def spread(files: DataFrame, size: F.Column | None = None, key: str | list[str] = "path", most: int = TASK_FILES) -> DataFrame:
     """The rows dealt by key to as many tasks as their number, and the sum of their sizes, ask for: a small table in one file may
     stand for many files, and whoever reads it would parse them all in one task. Rows that one task can take stay where they are."""
     n, total = files.agg(F.count("*"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("long")).first()
-    tasks = max(-(-n // TASK_FILES), -(-total // TASK_BYTES))
-    return files if tasks < 2 else files.repartition(max(tasks, files.sparkSession.sparkContext.defaultParallelism), key)
+    tasks = max(-(-n // most), -(-total // TASK_BYTES))
+    keys = [key] if isinstance(key, str) else key
+    return files if tasks < 2 else files.repartition(max(tasks, files.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def groups(names: list, sources: list):
