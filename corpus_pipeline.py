@@ -49,8 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, input_ids of each document."""
-    return bpe.encode(docs, decoded=False)
+    """doc_id, n_tokens, input_ids, decoded of each document: what its ids stand for, by decoding them again."""
+    return bpe.encode(docs)
 
 
 STAGES = [

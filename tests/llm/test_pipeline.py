@@ -45,3 +45,12 @@ def test_one_of_each_group_with_null_and_repeated_ids(spark, sf):
     want = [(None, one), (7, two), (5, rows[7][1]), (2, three), rows[9], (8, None), (8, None)]
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_encoding_decodes_its_ids(spark, sf):
+    ship(spark)
+    rows = [(1, "plain words, here\n\n", "en"), (2, None, "en"), (3, "", "en"), (4, "naïve 日本語 🙂 \u0000 <|endoftext|> x", "de"), (1, "plain words, here\n\n", "en")]
+    got = corpus_pipeline.encode_ids(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf).collect()
+    assert sorted((r.doc_id, r.decoded) for r in got) == sorted((i, t or "") for i, t, _ in rows)
+    b = bpe.load(bpe.default_path())
+    assert all(r.n_tokens == len(r.input_ids) and r.decoded == b.decode(b.encode([dict((i, t) for i, t, _ in rows)[r.doc_id]])[0]) for r in got)
