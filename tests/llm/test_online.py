@@ -86,7 +86,7 @@ def plain_scores(rows):
     for i, ws in words.items():
         e = (n_train - own[i] + 0.5) / (total - own[i] * (len(ws) + 1) + 1)
         z = math.log(e / (1 - e))
-        out[i] = plain_bits([(0, [((z, 1.0), int(at == len(ws)))]) for at in range(len(ws) + 1)], 8, (1.0, 0.0))
+        out[i] = plain_bits([(0, [((z, 1.0), int(at == len(ws)))]) for at in range(len(ws) + 1)], C.FLAGS, (1.0, 0.0))
         lines = []
         for _, j, ctx, v in coded(ws):
             bits = []
@@ -154,4 +154,4 @@ def test_mixed_scores_on_any_cluster(spark, sf):
 
 
 def test_slots_grow_with_the_texts():
-    assert C.line_bits(0) == (8,) * 5 and C.line_bits(1 << 16) < C.line_bits(1 << 20) < C.line_bits(1 << 40) == C.MOST
+    assert C.line_bits(0) == (8,) * 5 and C.line_bits(1 << 14) < C.line_bits(1 << 18) < C.line_bits(1 << 40) == C.MOST
