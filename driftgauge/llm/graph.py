@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.text import checkpoint
+from driftgauge.llm.text import unsized
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +55,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component) of every node of an edge; component is the least node that edges reach.
 
     Edges are first reduced to spanning forests partition by partition; then large-star and
-    small-star rounds run, each checkpointed, until the edges no longer change. A node of very many edges
+    small-star rounds run, each checkpointed without a supposed size, until the edges no longer change. A node of very many edges
     is split by adaptive execution's skewed joins. Edges that are null
     at an end or join a node to itself are left out.
     """
     own = lambda t: t.select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m")  # noqa: E731  a new key, so that the join has an exchange on both sides, which adaptive execution splits at a hub
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = checkpoint(e.mapInArrow(_local, "u long, v long").distinct())
+    e = unsized(e.mapInArrow(_local, "u long, v long").distinct())
     was = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -70,7 +70,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own(low), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        e = checkpoint(small.select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
+        e = unsized(small.select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         if now == was:
             break
